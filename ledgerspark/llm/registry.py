@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "token_counts",
     "mixing",
+    "simhash",
 )
 
 QUERIES: dict = {}
