@@ -8,6 +8,7 @@ MODULES = (
     "token_counts",
     "mixing",
     "simhash",
+    "order_minhash",
 )
 
 QUERIES: dict = {}
