@@ -9,6 +9,7 @@ MODULES = (
     "mixing",
     "simhash",
     "order_minhash",
+    "line_dedup",
 )
 
 QUERIES: dict = {}
