@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "token_counts",
+    "url_filters",
     "mixing",
     "simhash",
     "order_minhash",
