@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "token_counts",
     "url_filters",
+    "secret_scans",
     "mixing",
     "simhash",
     "order_minhash",
