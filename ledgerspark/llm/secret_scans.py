@@ -50,7 +50,7 @@ ENCODINGS = (
 )
 #: Sum of squared letter probabilities of running text.
 COINCIDENCE = 0.066
-RATE, UNIFORM = 0.01, 0.001
+RATE, UNIFORM = 0.001, 0.001
 #: Histogram cells: tenths of -log10(p), up to a last one.
 CELLS = 300
 
