@@ -9,6 +9,7 @@ MODULES = (
     "url_filters",
     "secret_scans",
     "mixing",
+    "packing",
     "simhash",
     "order_minhash",
     "line_dedup",
