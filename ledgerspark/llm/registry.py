@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "token_counts",
+    "neighbours",
     "url_filters",
     "secret_scans",
     "mixing",
