@@ -10,6 +10,7 @@ MODULES = (
     "url_filters",
     "secret_scans",
     "mixing",
+    "toxicity",
     "packing",
     "simhash",
     "order_minhash",
