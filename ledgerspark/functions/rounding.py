@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 VALUE = "decimal(38,10)"
 #: Places that VALUE can be rounded to; further ones leave it as it is.
-PLACES = range(-28, 10)
+PLACES = range(-27, 10)
 
 
 def as_decimal(text: Column) -> Column:
@@ -20,9 +20,15 @@ def as_decimal(text: Column) -> Column:
 def rounded_to(value: Column, places: Column) -> Column:
     """value, half to even, at a number of decimal places that differs by row.
 
-    The scale of a decimal rounding must be a literal, so there is one branch for each place.
+    Rounding functions want a literal number of places, and a branch for each place makes code that is too
+    large to compile, so this takes the remainder by the place's unit, which a constant array holds.
     """
-    return reduce(lambda rest, d: F.when(places == d, F.bround(value, d).cast(VALUE)).otherwise(rest), PLACES, value)
+    units = F.array(*(F.lit(Decimal(10) ** -d).cast(VALUE) for d in PLACES))
+    unit = F.get(units, places - PLACES[0])
+    rest = F.pmod(value, unit)
+    below = (value - rest).cast(VALUE)
+    up = (rest > (unit / 2).cast(VALUE)) | ((rest == (unit / 2).cast(VALUE)) & (F.pmod(below, (unit * 2).cast(VALUE)) != 0))
+    return F.when(places.between(PLACES[0], PLACES[-1]), F.when(up, (below + unit).cast(VALUE)).otherwise(below)).otherwise(value)
 
 
 def places_of(value: Column, decimals: Column, precision: Column) -> Column:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import validation
+
+QUERIES: dict = dict(validation.QUERIES)
+ORACLE_SQL: dict = dict(validation.ORACLE_SQL)
