@@ -7,9 +7,10 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VALUE = "decimal(38,10)"
+#: Two digits short of the widest decimal, so that differences keep all places.
+VALUE = "decimal(36,10)"
 #: Places that VALUE can be rounded to; further ones leave it as it is.
-PLACES = range(-27, 10)
+PLACES = range(-25, 10)
 
 
 def as_decimal(text: Column) -> Column:
@@ -23,12 +24,14 @@ def rounded_to(value: Column, places: Column) -> Column:
     Rounding functions want a literal number of places, and a branch for each place makes code that is too
     large to compile, so this takes the remainder by the place's unit, which a constant array holds.
     """
-    units = F.array(*(F.lit(Decimal(10) ** -d).cast(VALUE) for d in PLACES))
-    unit = F.get(units, places - PLACES[0])
-    rest = F.pmod(value, unit)
+    def unit(times: str) -> Column:
+        return F.get(F.array(*(F.lit(f"{Decimal(times) * Decimal(10) ** -d:f}").cast(VALUE) for d in PLACES)), places - PLACES[0])
+
+    rest = F.pmod(value, unit("1"))
     below = (value - rest).cast(VALUE)
-    up = (rest > (unit / 2).cast(VALUE)) | ((rest == (unit / 2).cast(VALUE)) & (F.pmod(below, (unit * 2).cast(VALUE)) != 0))
-    return F.when(places.between(PLACES[0], PLACES[-1]), F.when(up, (below + unit).cast(VALUE)).otherwise(below)).otherwise(value)
+    up = (rest > unit("0.5")) | ((rest == unit("0.5")) & (F.pmod(below, unit("2")) != 0))
+    inside = F.when(up, (below + unit("1")).cast(VALUE)).otherwise(below)
+    return F.when(places.between(PLACES[0], PLACES[-1]), inside).otherwise(value)
 
 
 def places_of(value: Column, decimals: Column, precision: Column) -> Column:

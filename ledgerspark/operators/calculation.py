@@ -54,9 +54,11 @@ def totals(facts: DataFrame, arcs: DataFrame, concepts: DataFrame) -> DataFrame:
     )
     in_role = by_concept.join(roles, "concept")
     item = F.col("weight").isNotNull()
+    # products lose decimal places, and most weights are signs
+    weighed = F.when(F.col("weight") == 1, F.col("rounded")).when(F.col("weight") == -1, -F.col("rounded")).otherwise((F.col("rounded") * F.col("weight")).cast(VALUE))
     bound = in_role.groupBy(*BIND, "elr", "parent").agg(
         F.count_if(~item).alias("totals"), F.count_if(item).alias("items"), F.bool_or(F.col("n") > 1).alias("blocked"),
-        F.sum(F.when(item, F.col("rounded") * F.col("weight"))).cast(VALUE).alias("computed"), F.coalesce(F.bool_or(F.when(item, F.col("zero"))), F.lit(False)).alias("item_zero"),
+        F.sum(F.when(item, weighed)).cast(VALUE).alias("computed"), F.coalesce(F.bool_or(F.when(item, F.col("zero"))), F.lit(False)).alias("item_zero"),
         F.max(F.when(~item, F.struct("v", "rounded", "decimals", "precision", "zero"))).alias("total"),
     )
     bound = bound.where((F.col("totals") > 0) & (F.col("items") > 0) & F.col("total.v").isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import validation
+from . import reporting, validation
 
-QUERIES: dict = dict(validation.QUERIES)
-ORACLE_SQL: dict = dict(validation.ORACLE_SQL)
+QUERIES: dict = validation.QUERIES | reporting.QUERIES
+ORACLE_SQL: dict = validation.ORACLE_SQL | reporting.ORACLE_SQL
