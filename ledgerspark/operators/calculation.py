@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rounding import VALUE, as_decimal, round_reported, zero_precision
+from ..functions.rounding import PRECISION, VALUE, accuracy, as_decimal, round_accurately
 from ..functions.scalars import is_numeric_type
 from .findings import finding, union
 from .graph import active_arcs
@@ -45,12 +45,12 @@ def totals(facts: DataFrame, arcs: DataFrame, concepts: DataFrame) -> DataFrame:
     as_total = live.select(F.col("parent").alias("concept"), "elr", "parent").distinct().withColumn("weight", F.lit(None).cast("decimal(18,6)"))
     roles = as_item.unionByName(as_total)
     value = F.col("value_dec").cast(VALUE) if "value_dec" in facts.columns else as_decimal(F.col("value"))
-    used = facts.where(F.col("unit_id").isNotNull()).join(numeric, "concept", "left_semi").join(roles.select("concept").distinct(), "concept", "left_semi")
-    used = used.select(*BIND, "concept", "decimals", "precision", value.alias("v")).repartition(*BIND)
-    rounded = used.withColumn("rounded", round_reported(F.col("v"), F.col("decimals"), F.col("precision")))
-    by_concept = rounded.groupBy(*BIND, "concept").agg(
-        F.count("*").alias("n"), F.sum("rounded").cast(VALUE).alias("rounded"), F.max("v").alias("v"), F.max("decimals").alias("decimals"), F.max("precision").alias("precision"),
-        F.bool_or(zero_precision(F.col("precision")) & F.col("v").isNotNull()).alias("zero"), F.count("v").alias("numbers"),
+    used = facts.where(F.col("unit_id").isNotNull()).join(roles.join(numeric, "concept", "left_semi").select("concept").distinct(), "concept", "left_semi")
+    used = used.select(*BIND, "concept", accuracy(F.col("decimals"), F.col("precision")).alias("accurate"), value.alias("v")).repartition(*BIND)
+    # sums and extremes of numbers alone, which hash aggregation can hold
+    by_concept = used.withColumn("rounded", round_accurately(F.col("v"), F.col("accurate"))).groupBy(*BIND, "concept").agg(
+        F.count("*").alias("n"), F.sum("rounded").cast(VALUE).alias("rounded"), F.max("v").alias("v"), F.max("accurate").alias("accurate"),
+        F.bool_or((F.col("accurate") == PRECISION) & F.col("v").isNotNull()).alias("zero"),
     )
     in_role = by_concept.join(roles, "concept")
     item = F.col("weight").isNotNull()
@@ -59,13 +59,14 @@ def totals(facts: DataFrame, arcs: DataFrame, concepts: DataFrame) -> DataFrame:
     bound = in_role.groupBy(*BIND, "elr", "parent").agg(
         F.count_if(~item).alias("totals"), F.count_if(item).alias("items"), F.bool_or(F.col("n") > 1).alias("blocked"),
         F.sum(F.when(item, weighed)).cast(VALUE).alias("computed"), F.coalesce(F.bool_or(F.when(item, F.col("zero"))), F.lit(False)).alias("item_zero"),
-        F.max(F.when(~item, F.struct("v", "rounded", "decimals", "precision", "zero"))).alias("total"),
+        F.max(F.when(~item, F.col("v"))).alias("v"), F.max(F.when(~item, F.col("rounded"))).alias("reported"), F.max(F.when(~item, F.col("accurate"))).alias("accurate"),
     )
-    bound = bound.where((F.col("totals") > 0) & (F.col("items") > 0) & F.col("total.v").isNotNull())
+    bound = bound.where((F.col("totals") > 0) & (F.col("items") > 0) & F.col("v").isNotNull())
     computed = F.coalesce("computed", F.lit(0).cast(VALUE))
-    like_total = F.when(F.col("item_zero"), F.lit(None).cast(VALUE)).otherwise(round_reported(computed, F.col("total.decimals"), F.col("total.precision"), F.col("total.v")))
-    same = F.when(like_total.isNull() | F.col("total.rounded").isNull(), ~(F.col("item_zero") | F.col("total.zero"))).otherwise(like_total == F.col("total.rounded"))
-    return bound.select(*BIND, "elr", "parent", F.col("total.rounded").alias("reported"), like_total.alias("computed"), "blocked", F.when(~F.col("blocked"), same).alias("consistent"))
+    like_total = F.when(F.col("item_zero"), F.lit(None).cast(VALUE)).otherwise(round_accurately(computed, F.col("accurate"), F.col("v")))
+    bound = bound.withColumn("like_total", like_total)
+    same = F.when(F.col("like_total").isNull() | F.col("reported").isNull(), ~(F.col("item_zero") | (F.col("accurate") == PRECISION))).otherwise(F.col("like_total") == F.col("reported"))
+    return bound.select(*BIND, "elr", "parent", "reported", F.col("like_total").alias("computed"), "blocked", F.when(~F.col("blocked"), same).alias("consistent"))
 
 
 def summation_findings(facts: DataFrame, arcs: DataFrame, concepts: DataFrame) -> DataFrame:
