@@ -134,6 +134,9 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
         source, target = source[target >= 0], target[target >= 0]
         by = np.argsort(target, kind="stable")
         source, target = source[by], target[by]
+        at += len(batch)
+        if not len(target):  # a single vector has no neighbour
+            continue
         hit, first, count = np.unique(target, return_index=True, return_counts=True)
         back = np.full((len(hit), degree + int(count.max())), -1, np.int32)
         back[:, :degree] = graph[hit]
@@ -145,7 +148,6 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
         for part in np.array_split(np.flatnonzero(full), max(1, int(full.sum()) // 512)):
             if len(part):
                 graph[hit[part]] = _prune(hit[part], _once(back[part]), points, degree, alpha)
-        at += len(batch)
     return graph, entry
 
 
