@@ -87,8 +87,8 @@ def formatted(value: Column, data_type: Column, decimals: Column) -> Column:
     """A value for display: numbers grouped by thousands, percentages times 100, others as they are."""
     number, local = F.trim(value).try_cast("decimal(38,10)"), F.lower(local_name(data_type))
     places = F.greatest(F.lit(0), F.coalesce(decimals.try_cast("int"), F.lit(0)))
-    grouped = F.format_number(number, places)
-    return F.when(number.isNull(), value).when(F.contains(local, F.lit("percent")), F.concat(F.format_number(number * 100, places), F.lit("%"))).when(is_numeric_type(data_type), grouped).otherwise(value)
+    grouped = F.call_function("format_number", number, places)
+    return F.when(number.isNull(), value).when(F.contains(local, F.lit("percent")), F.concat(F.call_function("format_number", number * 100, places), F.lit("%"))).when(is_numeric_type(data_type), grouped).otherwise(value)
 
 
 def duration_text(seconds: Column) -> Column:

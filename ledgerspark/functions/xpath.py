@@ -320,7 +320,7 @@ def _single(column: str) -> Callable:
 def _format_number(args: list[Value], scope: Scope) -> Value:
     x, picture = args[0].number(), args[1].text()
     places = F.length(F.regexp_replace(F.regexp_extract(picture, "\\.(.*)$", 1), "[0#]", ""))
-    return Value("string", F.when(F.contains(picture, F.lit(",")), F.format_number(x, 2)).when(F.contains(picture, F.lit(".")), F.format_number(x, places)).otherwise(x.cast("bigint").cast("string")))
+    return Value("string", F.when(F.contains(picture, F.lit(",")), F.format_number(x, 2)).when(F.contains(picture, F.lit(".")), F.call_function("format_number", x, places)).otherwise(x.cast("bigint").cast("string")))
 
 
 EMPTY = _fixed("sequence", lambda: F.array().cast("array<string>"))

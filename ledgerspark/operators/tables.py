@@ -110,6 +110,25 @@ def open_rows(facts: DataFrame, contexts: DataFrame, concept: str, base: dict[st
     return facts.where(F.col("concept") == concept).join(keyed, ["instance_id", "context_id"]).select("instance_id", "member").distinct()
 
 
+def open_row_candidates(leaves: DataFrame) -> DataFrame:
+    """(table_id, parent_id, dim): abstract parents whose leaves share a concept and vary in exactly one dimension.
+
+    leaves: table_id, parent_id, concept, dims.
+    """
+    listed = leaves.select("table_id", "parent_id", "concept", F.explode("dims").alias("dim", "member"))
+    varied = listed.groupBy("table_id", "parent_id", "dim").agg(F.count_distinct("member").alias("members")).where("members > 1")
+    single = leaves.groupBy("table_id", "parent_id").agg(F.count_distinct("concept").alias("concepts")).where("concepts = 1")
+    one = varied.groupBy("table_id", "parent_id").agg(F.count("*").alias("n"), F.first("dim").alias("dim")).where("n = 1")
+    return one.join(single, ["table_id", "parent_id"]).select("table_id", "parent_id", "dim")
+
+
+def open_aspect_rows(facts: DataFrame, contexts: DataFrame, concepts: list[str], dims: list[str]) -> DataFrame:
+    """The distinct keys over aspect dimensions (explicit or typed) of facts of an open table's column concepts."""
+    key = [F.coalesce(F.element_at("dims", d), F.element_at("typed", d)).alias(d) for d in dims]
+    keyed = contexts.select("instance_id", "context_id", *key)
+    return facts.where(F.col("concept").isin(*concepts)).join(keyed, ["instance_id", "context_id"]).select("instance_id", *dims).where(" AND ".join(f"`{d}` IS NOT NULL" for d in dims)).distinct()
+
+
 def used_members(contexts: DataFrame) -> DataFrame:
     """(dim, member, contexts): members in use for each dimension, for choosing sheets."""
     return contexts.select(F.explode("dims").alias("dim", "member")).groupBy("dim", "member").agg(F.count("*").alias("contexts"))

@@ -99,10 +99,20 @@ def _link(node: Node, path: str, base: str, catalog) -> Iterator[tuple[str, dict
         elif kind == "resource":
             yield "resource", {
                 "link": link, "elr": elr, "label": child.get(f"{XLINK}label"), "id": child.get("id"), "tag": child.tag, "local": child.local, "role": child.get(f"{XLINK}role"), "lang": child.get(f"{{{XML_NS}}}lang"),
-                "text": child.all_text(), "attributes": {k: v for k, v in child.element.attrib.items() if not k.startswith(XLINK)}, "aspects": _aspects(child),
+                "text": child.all_text(), "attributes": {k: v for k, v in child.element.attrib.items() if not k.startswith(XLINK)} | _implementation(child), "aspects": _aspects(child),
             }
 
 
+def _implementation(node: Node) -> dict:
+    """Input names and body of a function's implementation: its steps are put into the output, each under its name."""
+    if node.local != "implementation":
+        return {}
+    body = next((n.all_text() for n in node if n.local == "output"), "")
+    for step in reversed([n for n in node if n.local == "step"]):
+        body = body.replace(f"${step.get('name')}", f"({step.all_text()})")
+    return {"inputs": " ".join(n.get("name", "") for n in node if n.local == "input"), "body": body}
+
+
 def _aspects(node: Node) -> dict:
     """Names and values inside a rule or filter: concept, period, dimensions and members, as Clark text."""
     concept = next((n.name(n.all_text()) for n in node.walk() if n.local == "qname" and "dimension" not in n.tag), None)
@@ -243,6 +253,37 @@ class Taxonomy:
         flag = lambda name, default: F.coalesce(F.element_at("attributes", name).isin("true", "1"), F.lit(default))
         return placed.select(F.col("link").alias("table_id"), F.lit("?").alias("axis"), "node_id", "parent_id", F.coalesce("ord", F.lit(1.0)).alias("ord"), F.element_at("attributes", "tagSelector").alias("label"), F.col("id").alias("code"), flag("abstract", False).alias("is_abstract"), (F.coalesce(F.element_at("attributes", "parentChildOrder"), F.lit("parent-first")) == "parent-first").alias("parent_first"), F.nullif(F.element_at("aspects", "concept"), F.lit("")).alias("concept"), dims.alias("dims"))
 
+    def has_assertions(self) -> bool:
+        return not self.resources().where(F.col("local").rlike("^(value|existence|consistency)Assertion$")).limit(1).isEmpty()
+
+    def assertion_tables(self) -> DataFrame:
+        """(assertion_id, table_id): the first table that an assertion's set applies to."""
+        ids = self.resources().select("link", "label", F.coalesce("id", "label").alias("name"))
+        ends = ids.unionByName(self.locators().select("link", "label", F.col("fragment").alias("name")))
+        side = lambda end: ends.select("link", F.col("label").alias(end), F.col("name").alias(f"{end}_name"))
+        named = self.arcs().where(F.col("arcrole").rlike("(assertion-set|applies-to-table)$")).join(side("source"), ["link", "source"]).join(side("target"), ["link", "target"])
+        members = named.where(F.endswith("arcrole", F.lit("assertion-set"))).select(F.col("source_name").alias("set"), F.col("target_name").alias("assertion_id"))
+        tables = named.where(F.endswith("arcrole", F.lit("applies-to-table"))).select(F.col("source_name").alias("set"), F.col("target_name").alias("table_id"), "ord")
+        return members.join(tables, "set").groupBy("assertion_id").agg(F.min_by("table_id", F.struct("ord", "table_id")).alias("table_id"))
+
+    def assertion_resources(self) -> DataFrame:
+        """(assertion_id, text, lang, role, arcrole, priority): labels and messages of assertions."""
+        texts = self.resources().select("link", F.col("label").alias("target"), "text", "lang", "role")
+        ids = self.resources().select("link", F.col("label").alias("source"), F.coalesce("id", "label").alias("assertion_id")).unionByName(self.locators().select("link", F.col("label").alias("source"), F.col("fragment").alias("assertion_id")))
+        arcs = self.arcs().where(F.col("arcrole").rlike("(element-label|satisfied-message|unsatisfied-message|severity)$"))
+        return arcs.join(ids, ["link", "source"]).join(texts, ["link", "target"]).select("assertion_id", "text", "lang", "role", "arcrole", "priority")
+
+    def custom_functions(self) -> dict[tuple[str, int], tuple[tuple[str, ...], str]]:
+        """Functions that linkbases define, by name and number of inputs: input names and body; the last step returns."""
+        found = {}
+        resources = {(r.link, r.label): r for r in self.resources().where(F.col("local").isin("function", "implementation")).collect()}
+        for a in self.arcs().where(F.endswith("arcrole", F.lit("function-implementation"))).orderBy("link", "source", "target").collect():
+            declared, body = resources.get((a.link, a.source)), resources.get((a.link, a.target))
+            if declared is not None and body is not None and "body" in body.attributes:
+                names = tuple(n for n in (body.attributes.get("inputs") or "").split() if n)
+                found.setdefault((declared.attributes.get("name", ""), len(names)), (names, body.attributes["body"]))
+        return found
+
     def assertions(self) -> list:
         """Assertions with their variables and filters, ready to evaluate; taxonomies have few enough for the driver."""
         from ..operators.filters import BooleanFilter, DimensionFilter, TypedFilter, VariableFilter
@@ -294,6 +335,12 @@ class Taxonomy:
         return found
 
 
+def infer_catalog(entry: str, hosts: list[str]) -> dict[str, str]:
+    """Prefixes of remote files that lie beside an entry point under a folder named cache, by host name."""
+    root, found, _ = entry.partition("/cache/")
+    return {f"{scheme}://{host}/": f"{root}/cache/{host}" for host in hosts for scheme in ("http", "https", "ftp")} if found else {}
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     from functools import reduce
 
