@@ -70,9 +70,9 @@ def upsert_cells(facts: DataFrame, edits: DataFrame) -> DataFrame:
 
 def default_units(instances: DataFrame) -> DataFrame:
     """The units that a new filing starts with: euro and pure."""
-    spark = instances.sparkSession
-    fixed = spark.createDataFrame([("EUR", "{http://www.xbrl.org/2003/iso4217}EUR"), ("pure", "{http://www.xbrl.org/2003/instance}pure")], "unit_id string, measure string")
-    return instances.select("instance_id").crossJoin(F.broadcast(fixed)).select("instance_id", "unit_id", F.lit("simple").alias("form"), F.array("measure").alias("numerator"), F.array().cast("array<string>").alias("denominator"))
+    fixed = (("EUR", "{http://www.xbrl.org/2003/iso4217}EUR"), ("pure", "{http://www.xbrl.org/2003/instance}pure"))
+    each = F.array(*(F.struct(F.lit(u).alias("unit_id"), F.lit("simple").alias("form"), F.array(F.lit(m)).alias("numerator"), F.array().cast("array<string>").alias("denominator")) for u, m in fixed))
+    return instances.select("instance_id", F.explode(each).alias("u")).select("instance_id", "u.*")
 
 
 def creation_problems(selected: DataFrame, required: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -28,9 +28,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = spark.createDataFrame([("USD", ["{iso}USD"])], "unit_id string, numerator array<string>")
-    instances = model.table(spark, sf_dir, "customer").select(model.text("c_custkey").alias("instance_id"))
-    return formula.enrich(model.order_facts(spark, sf_dir), model.contexts(spark, sf_dir), instances.crossJoin(F.broadcast(units)))
+    units = model.table(spark, sf_dir, "customer").select(model.text("c_custkey").alias("instance_id"), F.lit("USD").alias("unit_id"), F.array(F.lit("{iso}USD")).alias("numerator"))
+    return formula.enrich(model.order_facts(spark, sf_dir), model.contexts(spark, sf_dir), units)
 
 
 OC = "orders JOIN customer ON o_custkey = c_custkey"
@@ -356,16 +355,16 @@ def dml_add_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dml_set_indicators",
-    """WITH old AS (SELECT user_id AS i, event_type AS t, bool_or(value > 50) AS f FROM events WHERE event_id % 2 = 0 GROUP BY ALL), new AS (SELECT user_id AS i, event_type AS t, bool_or(value > 90) AS f FROM events WHERE event_id % 3 = 0 GROUP BY ALL)
+    """WITH old AS (SELECT user_id AS i, event_type AS t, bool_or(value > 50) AS f FROM events GROUP BY ALL), new AS (SELECT user_id AS i, event_type AS t, bool_or(value > 90) AS f FROM events WHERE event_type <> 'click' GROUP BY ALL)
 SELECT CAST(coalesce(old.i, new.i) AS VARCHAR) AS instance_id, coalesce(old.t, new.t) AS template, coalesce(new.f, old.f) AS filed FROM old FULL JOIN new ON old.i = new.i AND old.t = new.t""",
 )
 def dml_set_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = model.table(spark, sf_dir, "events")
 
-    def of(every: int, least: float) -> DataFrame:
-        return events.where(F.col("event_id") % every == 0).groupBy(model.text("user_id").alias("instance_id"), F.col("event_type").alias("template")).agg(F.bool_or(F.col("value") > least).alias("filed"))
+    def of(events: DataFrame, least: float) -> DataFrame:
+        return events.groupBy(model.text("user_id").alias("instance_id"), F.col("event_type").alias("template")).agg(F.bool_or(F.col("value") > least).alias("filed"))
 
-    return dml.set_indicators(of(2, 50), of(3, 90))
+    return dml.set_indicators(of(events, 50), of(events.where("event_type <> 'click'"), 90))
 
 
 @query("net_tree_order", f"WITH {TREE} SELECT node_id, CAST(row_number() OVER (ORDER BY a, b) AS INTEGER) AS place FROM t")

@@ -196,8 +196,8 @@ def _geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, customer = model.table(spark, sf_dir, "nation"), model.table(spark, sf_dir, "customer")
     down = nation.select(F.lit("geo").alias("elr"), F.concat(F.lit("r"), model.text("n_regionkey")).alias("source"), F.concat(F.lit("n"), model.text("n_nationkey")).alias("target"), F.lit("people").alias("target_role"))
     people = customer.select(F.lit("people").alias("elr"), F.concat(F.lit("n"), model.text("c_nationkey")).alias("source"), F.concat(F.lit("c"), model.text("c_custkey")).alias("target"), F.lit(None).cast("string").alias("target_role"))
-    # customers lead back to their region, so the network has cycles
-    back = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).where("c_custkey % 10 = 0").select(F.lit("people").alias("elr"), F.concat(F.lit("c"), model.text("c_custkey")).alias("source"), F.concat(F.lit("r"), model.text("n_regionkey")).alias("target"), F.lit("geo").alias("target_role"))
+    # customers in debt lead back to their region, so the network has cycles
+    back = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).where("c_acctbal < 0").select(F.lit("people").alias("elr"), F.concat(F.lit("c"), model.text("c_custkey")).alias("source"), F.concat(F.lit("r"), model.text("n_regionkey")).alias("target"), F.lit("geo").alias("target_role"))
     return down.unionByName(people).unionByName(back)
 
 
@@ -216,9 +216,9 @@ def dim_usable_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.usable_members(model.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("source"), F.col("c_mktsegment").alias("target"), (F.col("c_acctbal") > -900).alias("usable")))
 
 
-@query("dim_too_many_defaults", "SELECT c_nationkey AS dim, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS defaults FROM customer WHERE c_acctbal > 9000 GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1")
+@query("dim_too_many_defaults", "SELECT c_nationkey AS dim, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS defaults FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1")
 def dim_too_many_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arcs = model.table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("source"), F.col("c_mktsegment").alias("target"))
+    arcs = model.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("source"), F.col("c_mktsegment").alias("target"))
     return dimensional.too_many_defaults(arcs).select("dim", F.array_join("defaults", ",").alias("defaults"))
 
 

@@ -38,9 +38,9 @@ def documents(instances: DataFrame, contexts: DataFrame, units: DataFrame, facts
     """
     names = facts.select(F.col("concept").alias("name")).unionByName(units.select(F.explode(F.concat("numerator", "denominator")).alias("name")))
     names = names.unionByName(contexts.select(F.explode(F.concat(F.map_keys("dims"), F.map_values("dims"), F.map_keys("typed"))).alias("name"))).distinct()
-    known = prefixes(names)
-    # a row for each namespace of the taxonomy
-    table = known.agg(F.map_from_entries(F.collect_list(F.struct("ns", "prefix"))).alias("prefixes"))
+    # a row for each namespace of the taxonomy, which becomes a literal
+    known = [x for row in prefixes(names).collect() for x in (row.ns, row.prefix)]
+    table = (F.create_map(*map(F.lit, known)) if known else F.create_map()).cast("map<string,string>")
     lines = lambda parts: F.array_join(parts, "\n")
 
     def members(container: str) -> Column:
@@ -69,9 +69,9 @@ def documents(instances: DataFrame, contexts: DataFrame, units: DataFrame, facts
         F.lit("<"), tag, F.lit(' contextRef="'), escaped(F.col("context_id")), F.lit('"'), attribute("unitRef", "unit_id"), attribute("decimals", "decimals"), attribute("precision", "precision"),
         F.when(F.col("is_nil"), F.lit(' xsi:nil="true"/>')).otherwise(F.concat(F.lit(">"), escaped(F.coalesce("value", F.lit(""))), F.lit("</"), tag, F.lit(">"))),
     )
-    gather = lambda rows, key, text: rows.crossJoin(F.broadcast(table)).groupBy("instance_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(key, text.alias("_xml")))), lambda s: s["_xml"]).alias("_parts"))
+    gather = lambda rows, key, text: rows.withColumn("prefixes", table).groupBy("instance_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(key, text.alias("_xml")))), lambda s: s["_xml"]).alias("_parts"))
     indicator = F.concat(F.lit('<find:filingIndicator contextRef="'), F.lit("c"), F.lit('" find:filed="'), F.col("filed").cast("string"), F.lit('">'), escaped(F.col("template")), F.lit("</find:filingIndicator>"))
-    whole = instances.crossJoin(F.broadcast(table))
+    whole = instances.withColumn("prefixes", table)
     sections = [("contexts", gather(contexts, "context_id", context)), ("units", gather(units, "unit_id", unit)), ("indicators", gather(indicators, "template", indicator)), ("facts", gather(facts, "fact_ord", fact))]
     if orphans is not None:
         sections.append(("orphans", gather(orphans, "fact_ord", F.col("xml"))))
