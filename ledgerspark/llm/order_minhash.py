@@ -32,7 +32,8 @@ HALF = np.uint64(32)
 #: K-mers a bin should keep as candidates on average before they are sorted.
 CANDIDATES = 14
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Columns of a result; digests and fingerprints travel as bytes and are shown in hexadecimal at the end.
+RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -115,8 +116,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(((a == b) & filled).sum() / n) if n else 1.0
 
 
+def as_bytes(bins: np.ndarray) -> bytes:
+    return bins.astype(">u2").tobytes()
+
+
 def as_text(bins: np.ndarray) -> str:
-    return bins.astype(">u2").tobytes().hex()
+    return as_bytes(bins).hex()
 
 
 def edited(text: str, following: str) -> str:
@@ -127,7 +132,7 @@ def edited(text: str, following: str) -> str:
 def _result(doc_id, text: str, bins: np.ndarray, following: str, next_bins: np.ndarray) -> tuple:
     other = edited(text, following)
     other_bins = bins if other == text else signature(other)
-    return doc_id, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), as_text(bins), as_text(other_bins), likeness(bins, other_bins), likeness(bins, next_bins)
+    return doc_id, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).digest(), as_bytes(bins), as_bytes(other_bins), likeness(bins, other_bins), likeness(bins, next_bins)
 
 
 #: Rows of a task: results, then its range's first and last document, which other ranges need or wait for.
@@ -136,7 +141,7 @@ RESOLVED, FIRST, LAST = 0, 1, 2
 
 
 def _schema(ddl: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
     return pa.schema([(name, kinds[kind]) for name, kind in (c.strip().split(" ") for c in ddl.split(","))])
 
 
@@ -145,7 +150,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def fingerprint_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: its fingerprint, its edited text's, and their likenesses (see RESULT)."""
+    """One row a document: its fingerprint, its edited text's, and their likenesses (see RESULT), digests in hexadecimal."""
     small_batches(docs.sparkSession, 500)
     plain = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -186,7 +191,8 @@ def fingerprint_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     before = heads.select("part", F.coalesce(F.lag("part").over(turns), F.max("part").over(turns.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
     nexts = heads.join(before, "part").select(F.col("before").alias("part"), "following")
     tails = rows.where(F.col("kind") == LAST).select("part", "doc_id", "text").join(nexts, "part").select("doc_id", "text", "following")
-    return rows.where(F.col("kind") == RESOLVED).select(*names).unionByName(tails.mapInArrow(waiting, RESULT))
+    found = rows.where(F.col("kind") == RESOLVED).select(*names).unionByName(tails.mapInArrow(waiting, RESULT))
+    return found.select(*(F.lower(F.hex(c)).alias(c) if kind == "binary" else F.col(c) for c, kind in found.dtypes))
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
