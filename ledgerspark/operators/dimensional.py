@@ -139,3 +139,18 @@ def validate(facts: DataFrame, contexts: DataFrame, concepts: DataFrame, cubes:
             container_mismatches(facts, contexts, cubes, cube_items, cube_dims),
         ]
     )
+
+
+def global_members(domain_arcs: DataFrame, member_arcs: DataFrame) -> DataFrame:
+    """(dim, member, usable): members of each dimension whatever the link role; repeats of an arc must all be usable.
+
+    Dimensions without a domain arc have no rows, hence no model.
+    """
+    from .graph import closure, usable_members
+
+    arcs = usable_members(domain_arcs.select("source", "target", "usable").unionByName(member_arcs.select("source", "target", "usable")))
+    edges = arcs.select(F.col("source").alias("member"), F.col("target").alias("to_member"))
+    seeds = domain_arcs.select(F.col("source").alias("dim"), F.col("target").alias("member")).distinct()
+    reached = closure(seeds, edges, ["member"])
+    flags = arcs.groupBy(F.col("target").alias("member")).agg(F.bool_and("usable").alias("usable"))
+    return reached.join(flags, "member").select("dim", "member", "usable").distinct()

@@ -84,3 +84,16 @@ def creation_problems(selected: DataFrame, required: DataFrame, allowed: DataFra
     known = allowed.select("dim").distinct()
     wrong = selected.join(known, "dim", "left_semi").join(allowed, ["dim", "member"], "left_anti").select("instance_id", "dim", "member", F.lit("not allowed").alias("problem"))
     return missing.unionByName(wrong)
+
+
+def preferred_indicators(preamble: DataFrame, elements: DataFrame) -> DataFrame:
+    """Filing indicators of a filing's preamble, else those of its indicator elements."""
+    return preamble.unionByName(elements.join(preamble.select("instance_id").distinct(), "instance_id", "left_anti"))
+
+
+def new_filings(instances: DataFrame, templates: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(contexts, units, indicators) of filings to be: instances (instance_id, entity_scheme, entity_id, period_type,
+    instant, start, end), the templates each files (instance_id, template), on top of existing contexts."""
+    empty = F.create_map().cast("map<string,string>")
+    wanted = instances.withColumns({"dims": empty, "typed": empty, "containers": empty}).select(*(c for c in contexts.columns if c not in ("context_id", "s_equal_key")))
+    return ensure_contexts(contexts, wanted), default_units(instances), templates.select("instance_id", "template", F.lit(True).alias("filed"))

@@ -95,3 +95,47 @@ def tree_paths(nodes: DataFrame, key: str = "node_id", parent: str = "parent_id"
         level = materialize(level, "level")
         found = found.unionByName(level)
     return found.drop("_rank")
+
+
+def first_arcs(arcs: DataFrame, within: Sequence[str] = ("elr", "parent", "child")) -> DataFrame:
+    """One arc of each pair of ends: the one of least order."""
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy(*within).orderBy("ord"))
+    return arcs.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
+def arcs_by_source(arcs: DataFrame) -> DataFrame:
+    """(elr, source, targets, n): what each source of a network leads to, in order."""
+    listed = F.sort_array(F.collect_list(F.struct("ord", "target")))
+    return arcs.groupBy("elr", "source").agg(F.transform(listed, lambda x: x["target"]).alias("targets"), F.count("*").alias("n"))
+
+
+def descendants(heads: DataFrame, arcs: DataFrame, leaves_only: bool = False) -> DataFrame:
+    """(head, member): members below each head (head, elr, member) over link roles, the head itself left out.
+
+    With leaves_only, those that no arc of their network leads on from.
+    """
+    reached = member_network(heads.select("head", "elr", "member"), arcs)
+    tops = heads.select("head", F.col("member").alias("_top"))
+    below = reached.join(tops, "head").where("member <> _top").drop("_top")
+    if leaves_only:
+        below = below.join(arcs.select("elr", F.col("source").alias("member")).distinct(), ["elr", "member"], "left_anti")
+    return below.select("head", "member").distinct()
+
+
+def enumeration_members(domains: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(concept, member): values of extensible enumerations; domains: concept, elr, head, head_usable.
+
+    Arcs that are not usable lead nowhere; the head counts only where it is usable.
+    """
+    usable = arcs.where(F.coalesce("usable", F.lit(True)))
+    reached = member_network(domains.select("concept", "elr", F.col("head").alias("member")), usable)
+    heads = domains.where("NOT head_usable").select("concept", F.col("head").alias("member"))
+    return reached.select("concept", "member").distinct().join(heads, ["concept", "member"], "left_anti")
+
+
+def members_in_role(heads: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(head, member): members reached inside one link role, target roles not followed."""
+    stay = arcs.withColumn("target_role", F.lit(None).cast("string"))
+    return member_network(heads.select("head", "elr", "member"), stay).select("head", "member").distinct()

@@ -49,3 +49,15 @@ def write(findings: DataFrame, path: str, kind: str = "json") -> None:
         as_lines(findings).select("line").write.mode("overwrite").text(path)
     else:
         findings.write.mode("overwrite").format(kind).save(path)
+
+
+def suite_lines(rolled: DataFrame) -> DataFrame:
+    """One line of text a conformance suite."""
+    return rolled.select(F.format_string("%-10s %s: %d passed, %d failed, %d errors, %d skipped", "status", "suite_id", "pass", "fail", "error", "skipped").alias("line"))
+
+
+def all_findings(*parts: DataFrame) -> DataFrame:
+    """The findings of all rule families, in the order given: source_ord tells which."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [p.withColumn("source_ord", F.lit(i)) for i, p in enumerate(parts)])

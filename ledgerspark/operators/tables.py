@@ -154,3 +154,56 @@ def filed_tables(tables: DataFrame, indicators: DataFrame) -> DataFrame:
 
 def has_data(filled: DataFrame) -> DataFrame:
     return filled.groupBy("instance_id", "table_id").agg(F.bool_or(F.col("value").isNotNull()).alias("has_data"))
+
+
+def z_leaves(nodes: DataFrame) -> DataFrame:
+    """(table_id, z_ord, label, dims): the sheets of a z axis, one called Default for a table without any leaf."""
+    leaves = axis_leaves(nodes).select("table_id", F.col("leaf_ord").alias("z_ord"), "label", "dims")
+    bare = nodes.select("table_id").distinct().join(leaves.select("table_id").distinct(), "table_id", "left_anti")
+    return leaves.unionByName(bare.select("table_id", F.lit(0).alias("z_ord"), F.lit("Default").alias("label"), F.create_map().cast(NO_DIMS).alias("dims")))
+
+
+def table_order(tables: DataFrame, groups: DataFrame) -> DataFrame:
+    """tables (table_id) with place: their pre-order in the group tree (node_id, parent_id, ord), unlisted ones last."""
+    tree = tree_paths(groups.select(F.lit("all").alias("table_id"), F.lit("g").alias("axis"), "node_id", "parent_id", "ord"))
+    met = tables.join(tree.select(F.col("node_id").alias("table_id"), "path"), "table_id", "left")
+    return met.withColumn("place", F.row_number().over(Window.orderBy(F.col("path").isNull(), "path", "table_id"))).drop("path")
+
+
+def node_captions(nodes: DataFrame, best_labels: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """nodes with caption (their own label, else their concept's, else nothing) and code (their own, else by label)."""
+    found = nodes.join(best_labels.select("concept", F.col("text").alias("_text")), "concept", "left").withColumn("caption", F.coalesce("label", "_text", F.lit(""))).drop("_text")
+    if codes is None:
+        return found
+    return found.join(codes.select("concept", F.col("text").alias("_code")), "concept", "left").withColumn("code", F.coalesce("code", "_code")).drop("_code")
+
+
+def cell_options(body: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Cells with the values that their concept may take, for concepts that enumerate some."""
+    return body.join(concepts.where("size(enumeration) > 0").select("concept", F.col("enumeration").alias("options")), "concept")
+
+
+def locate(findings: DataFrame, contexts: DataFrame, body: DataFrame, defaults: dict[str, str] | None = None) -> DataFrame:
+    """Findings with the first cell, row by row, of their concept and members."""
+    keyed = contexts.select("instance_id", "context_id", dims_key(normalized_dims(F.col("dims"), defaults)).alias("key"))
+    cells_ = body.withColumn("key", dims_key(normalized_dims(F.col("dims"), defaults))).groupBy("concept", "key").agg(F.min(F.struct("table_id", "z_ord", "row_ord", "col_ord")).alias("cell"))
+    return findings.drop("table_id").join(keyed, ["instance_id", "context_id"]).join(cells_, ["concept", "key"]).select("instance_id", "rule_id", "concept", "context_id", "cell.*")
+
+
+def facts_at(facts: DataFrame, contexts: DataFrame, coordinates: DataFrame) -> DataFrame:
+    """Facts whose context has exactly the members of a coordinate (concept, dims), defaults included as reported."""
+    keyed = contexts.select("instance_id", "context_id", dims_key(F.col("dims")).alias("key"))
+    asked = coordinates.select("concept", dims_key(F.col("dims")).alias("key")).distinct()
+    return facts.join(keyed, ["instance_id", "context_id"]).join(asked, ["concept", "key"]).drop("key")
+
+
+def compatible_members(candidates: DataFrame, combinations: DataFrame, selected: dict[str, str]) -> DataFrame:
+    """Candidates (dim, member) that occur together with the other selected members; all of a dimension's if none does.
+
+    combinations: dims, the members that contexts use together.
+    """
+    seen = combinations.select("dims", F.explode("dims").alias("dim", "member"))
+    fits = [F.when(F.col("dim") == d, F.lit(True)).otherwise(F.coalesce(F.element_at("dims", d) == m, F.lit(False))) for d, m in selected.items()]
+    met = seen.where(F.forall(F.array(*fits), lambda x: x)) if fits else seen
+    good = candidates.join(met.select("dim", "member").distinct(), ["dim", "member"], "left_semi")
+    return good.unionByName(candidates.join(good.select("dim").distinct(), "dim", "left_anti"))

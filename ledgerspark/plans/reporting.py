@@ -373,3 +373,70 @@ def net_tree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     placed = graph.tree_paths(_tree(spark, sf_dir))
     return placed.select("node_id", F.row_number().over(Window.partitionBy("table_id").orderBy("path")).alias("place"))
+
+
+@query(
+    "table_z_leaves",
+    f"WITH {TREE}, l AS (SELECT *, CASE WHEN level = 1 AND rk % 4 <> 0 THEN 1000 ELSE b END AS b2 FROM t WHERE level = 2 OR level = 1 AND NOT abs_) SELECT CAST(row_number() OVER (ORDER BY a, b2) - 1 AS INTEGER) AS z_ord, coalesce((SELECT n_name FROM w WHERE w.node_id = l.node_id), (SELECT r_name FROM region WHERE r_regionkey = rk)) AS label FROM l",
+)
+def table_z_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.z_leaves(_tree(spark, sf_dir)).select(F.col("z_ord").cast("int").alias("z_ord"), "label")
+
+
+@query("table_order", f"WITH {TREE} SELECT nation.n_name AS table_id, CAST(row_number() OVER (ORDER BY t.node_id IS NULL, a, b, nation.n_name) AS INTEGER) AS place FROM nation LEFT JOIN w ON w.nk = n_nationkey AND n_regionkey <> 2 LEFT JOIN t ON t.node_id = w.node_id")
+def table_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = _tree(spark, sf_dir).where("parent_id IS NULL OR parent_id <> 'r2'")
+    named = tree.withColumn("node_id", F.when(F.startswith("node_id", F.lit("n")), F.col("label")).otherwise(F.col("node_id")))
+    # siblings of equal order stand by name of the node, as in the tree itself
+    rank = tree.select(F.col("label").alias("node_id"), F.col("node_id").alias("by"))
+    groups = named.join(rank, "node_id", "left").withColumn("ord", F.when(F.col("by").isNull(), F.col("ord")).otherwise(F.dense_rank().over(_by("by")).cast("double")))
+    return tables.table_order(model.table(spark, sf_dir, "nation").select(F.col("n_name").alias("table_id")), groups.select("node_id", "parent_id", "ord")).select("table_id", F.col("place").cast("int").alias("place"))
+
+
+@query("table_findings_located", f"WITH {CELLS} SELECT CAST(c_custkey AS VARCHAR) AS context_id, row_ord, col_ord FROM customer JOIN nation n ON c_nationkey = n_nationkey JOIN cells ON cells.n_name = n.n_name AND cells.seg = c_mktsegment WHERE c_acctbal < 0")
+def table_findings_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, nation = model.table(spark, sf_dir, "customer"), model.table(spark, sf_dir, "nation")
+    joined = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    contexts = joined.select(F.lit("all").alias("instance_id"), model.text("c_custkey").alias("context_id"), F.create_map(F.lit("nation"), "n_name", F.lit("segment"), "c_mktsegment").alias("dims"))
+    found = finding(customer.where("c_acctbal < 0").select(F.lit("all").alias("instance_id"), model.text("c_custkey").alias("context_id"), F.lit("Balance").alias("concept")), "debt", "formula", F.lit(""))
+    return tables.locate(found, contexts, _body(spark, sf_dir)).select("context_id", F.col("row_ord").cast("int").alias("row_ord"), F.col("col_ord").cast("int").alias("col_ord"))
+
+
+@query("table_facts_at", f"SELECT {ID} FROM {OC} WHERE c_mktsegment = 'BUILDING' AND o_orderpriority = '2-HIGH' AND o_orderstatus = 'O'")
+def table_facts_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([("OrderTotal", {"segment": "BUILDING", "priority": "2-HIGH"})], "concept string, dims map<string,string>")
+    return tables.facts_at(model.order_facts(spark, sf_dir), model.contexts(spark, sf_dir), asked).select("context_id")
+
+
+@query(
+    "table_compatible_members",
+    f"""SELECT DISTINCT 'priority' AS dim, o_orderpriority AS member FROM {OC} WHERE o_orderstatus <> 'P' AND c_mktsegment = 'BUILDING'
+UNION ALL SELECT DISTINCT 'segment', c_mktsegment FROM {OC}""",
+)
+def table_compatible_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contexts = model.contexts(spark, sf_dir)
+    candidates = tables.used_members(contexts).where("dim IN ('priority', 'segment')").select("dim", "member")
+    return tables.compatible_members(candidates, contexts.select("dims").where("dims IS NOT NULL"), {"segment": "BUILDING"})
+
+
+@query("net_arcs_by_source", "SELECT l_linestatus AS elr, CAST(l_partkey AS VARCHAR) AS source, count(*) AS n, CAST(arg_min(l_suppkey, l_orderkey * 1e10 + l_suppkey * 100 + l_linenumber) AS VARCHAR) AS first FROM lineitem GROUP BY ALL")
+def net_arcs_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = model.table(spark, sf_dir, "lineitem")
+    order = (F.col("l_orderkey") * F.lit(1e10) + F.col("l_suppkey") * 100 + F.col("l_linenumber")).cast("double")
+    arcs = lines.select(F.col("l_linestatus").alias("elr"), model.text("l_partkey").alias("source"), model.text("l_suppkey").alias("target"), order.alias("ord"))
+    return graph.arcs_by_source(arcs).select("elr", "source", "n", F.get("targets", F.lit(0)).alias("first"))
+
+
+@query("report_findings_union", f"WITH {EVENTS} SELECT 'click' AS family, count(*) AS findings FROM e WHERE table_id = 'click' UNION ALL SELECT 'other', count(*) FROM e WHERE table_id <> 'click'")
+def report_findings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _findings(spark, sf_dir)
+    whole = report.all_findings(found.where("table_id = 'click'"), found.where("table_id <> 'click'"))
+    return whole.groupBy(F.when(F.col("source_ord") == 0, "click").otherwise("other").alias("family")).agg(F.count("*").alias("findings"))
+
+
+@query("sink_prefixes", "SELECT 'http://x.com/' || n_regionkey || '/tax' || (n_nationkey % 4) AS ns, 'tax' || (n_nationkey % 4) || CASE WHEN row_number() OVER (PARTITION BY n_nationkey % 4 ORDER BY 'http://x.com/' || n_regionkey || '/tax' || (n_nationkey % 4)) = 1 THEN '' ELSE '_' || row_number() OVER (PARTITION BY n_nationkey % 4 ORDER BY 'http://x.com/' || n_regionkey || '/tax' || (n_nationkey % 4)) END AS prefix FROM (SELECT DISTINCT n_regionkey, n_nationkey % 4 AS n_nationkey FROM nation)")
+def sink_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.sinks import prefixes
+
+    nation = model.table(spark, sf_dir, "nation")
+    return prefixes(nation.select(F.concat(F.lit("{http://x.com/"), model.text("n_regionkey"), F.lit("/tax"), model.text(F.col("n_nationkey") % 4), F.lit("}"), F.col("n_name")).alias("name")))

@@ -317,3 +317,30 @@ def sg_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def net_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = model.table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("elr"), F.col("l_partkey").alias("parent"), F.col("l_suppkey").alias("child"))
     return graph.roots(arcs)
+
+
+@query(
+    "dim_global_members",
+    """SELECT 'region' AS dim, 'n' || n_nationkey AS member, TRUE AS usable FROM nation
+UNION ALL SELECT 'region', 'c' || c_custkey, c_acctbal >= 0 FROM customer""",
+)
+def dim_global_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, customer = model.table(spark, sf_dir, "nation"), model.table(spark, sf_dir, "customer")
+    domains = nation.select(F.lit("region").alias("source"), F.concat(F.lit("n"), model.text("n_nationkey")).alias("target"), F.lit(True).alias("usable"))
+    members = customer.select(F.concat(F.lit("n"), model.text("c_nationkey")).alias("source"), F.concat(F.lit("c"), model.text("c_custkey")).alias("target"), (F.col("c_acctbal") >= 0).alias("usable"))
+    return dimensional.global_members(domains, members)
+
+
+@query("net_enumeration_members", "SELECT 'r' || n_regionkey AS concept, 'c' || c_custkey AS member FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0 UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region WHERE r_regionkey > 2")
+def net_enumeration_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arcs = _geography(spark, sf_dir).join(model.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), model.text("c_custkey")).alias("target"), (F.col("c_acctbal") >= 0).alias("usable")), "target", "left")
+    region = model.table(spark, sf_dir, "region")
+    head = F.concat(F.lit("r"), model.text("r_regionkey"))
+    domains = region.select(head.alias("concept"), F.lit("geo").alias("elr"), head.alias("head"), (F.col("r_regionkey") > 2).alias("head_usable"))
+    return graph.enumeration_members(domains, arcs)
+
+
+@query("net_descendant_leaves", "SELECT 'r' || n_regionkey AS head, 'c' || c_custkey AS member FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0 UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)")
+def net_descendant_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = model.table(spark, sf_dir, "region").select(F.concat(F.lit("r"), model.text("r_regionkey")).alias("head")).select("head", F.lit("geo").alias("elr"), F.col("head").alias("member"))
+    return graph.descendants(heads, _geography(spark, sf_dir), leaves_only=True)

@@ -56,6 +56,8 @@ def shred_taxonomy(catalog: Mapping[str, str]):
 
     def shredder(root: Node, path: str) -> Iterator[tuple[str, dict]]:
         target = root.get("targetNamespace", "")
+        said = next((n.all_text() for n in root.walk() if n.tag == f"{XS}documentation" and n.all_text()), None)
+        yield "file", {"root": root.local, "documentation": said, "version": root.get("version"), "namespace": target or None}
         for node, base in _bases(root, path):
             href = node.get(f"{XLINK}href") or (node.get("schemaLocation") if node.tag in (f"{XS}import", f"{XS}include") else None)
             if href and node.local in ("import", "include", "linkbaseRef", "roleRef", "arcroleRef", "loc", "schemaRef"):
@@ -151,6 +153,12 @@ class Taxonomy:
             frontier = sorted(files - remote - seen)
         self.rows = parts[0] if len(parts) == 1 else _union(parts)
 
+    def metadata(self) -> DataFrame:
+        """(path, name, version, publisher): a schema's first documentation, cut to 80 characters, else its file's name."""
+        stem = F.regexp_extract("path", "([^/]+?)(\\.[^./]*)?$", 1)
+        found = relation(self.rows, "file", "root string, documentation string, version string").where("root = 'schema'")
+        return found.select("path", F.coalesce(F.substring("documentation", 1, 80), stem).alias("name"), F.coalesce("version", F.lit("unknown")).alias("version"), F.lit("unknown").alias("publisher"))
+
     def skipped(self) -> list[str]:
         return sorted(self._skipped)
 
