@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import PRECISION, VALUE, accuracy, as_decimal, round_accurately
 from ..functions.scalars import is_numeric_type
+from ..session import materialize
 from .findings import finding, union
 from .graph import active_arcs
 
@@ -43,9 +44,10 @@ def totals(facts: DataFrame, arcs: DataFrame, concepts: DataFrame) -> DataFrame:
     live = live.join(numeric.withColumnRenamed("concept", "parent"), "parent", "left_semi").join(numeric.withColumnRenamed("concept", "child"), "child", "left_semi")
     as_item = live.select(F.col("child").alias("concept"), "elr", "parent", F.col("weight").cast("decimal(18,6)").alias("weight"))
     as_total = live.select(F.col("parent").alias("concept"), "elr", "parent").distinct().withColumn("weight", F.lit(None).cast("decimal(18,6)"))
-    roles = as_item.unionByName(as_total)
+    # written, so that the planner knows how small the networks are and doesn't deal facts out by concept
+    roles = materialize(as_item.unionByName(as_total), "roles")
     value = F.col("value_dec").cast(VALUE) if "value_dec" in facts.columns else as_decimal(F.col("value"))
-    used = facts.where(F.col("unit_id").isNotNull()).join(roles.join(numeric, "concept", "left_semi").select("concept").distinct(), "concept", "left_semi")
+    used = facts.where(F.col("unit_id").isNotNull()).join(roles.select("concept").distinct(), "concept", "left_semi")
     used = used.select(*BIND, "concept", accuracy(F.col("decimals"), F.col("precision")).alias("accurate"), value.alias("v")).repartition(*BIND)
     # sums and extremes of numbers alone, which hash aggregation can hold
     by_concept = used.withColumn("rounded", round_accurately(F.col("v"), F.col("accurate"))).groupBy(*BIND, "concept").agg(

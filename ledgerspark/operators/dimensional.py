@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import dims_key, normalized_dims
+from ..session import materialize
 from .findings import finding, union
 from .graph import member_network
 
@@ -50,9 +51,10 @@ def judge(combos: DataFrame, cubes: DataFrame, cube_items: DataFrame, cube_dims:
         F.collect_list(F.when(F.col("known"), F.col("dim"))).alias("checked"),
     )
     full = cubes.join(shape, "cube", "left").withColumns({c: F.coalesce(c, names) for c in ("dims", "required", "checked")})
-    covering = cube_items.join(full, "cube")
+    covering = materialize(cube_items.join(full, "cube"), "covering")
     expected = covering.where("arcrole = 'all'").groupBy("concept").agg(F.array_distinct(F.flatten(F.collect_list("dims"))).alias("expected"))
-    met = combos.join(covering, "concept").join(expected, "concept", "left")
+    # written, so that the planner knows the taxonomy's size; combinations alone may be many
+    met = combos.join(materialize(covering.join(expected, "concept", "left"), "covering"), "concept")
     used = F.map_keys("members")
     undeclared = F.when(F.col("closed"), F.array_except(used, F.coalesce("expected", names))).otherwise(names)
     missing = F.array_except("required", used)

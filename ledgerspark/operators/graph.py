@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import local_table, materialize
 
 #: The four roots that make an element a concept, in Clark form.
 CONCEPT_ROOTS = ("{http://www.xbrl.org/2003/instance}item", "{http://www.xbrl.org/2003/instance}tuple", "{http://xbrl.org/2005/xbrldt}hypercubeItem", "{http://xbrl.org/2005/xbrldt}dimensionItem")
@@ -44,7 +44,7 @@ def closure(seeds: DataFrame, edges: DataFrame, keys: Sequence[str], depth: bool
 def substitution_closure(candidates: DataFrame, roots: Sequence[str] = CONCEPT_ROOTS) -> DataFrame:
     """(concept, root): elements (concept, substitution_group) whose chain of heads reaches a root."""
     spark = candidates.sparkSession
-    heads = spark.createDataFrame([(r, r) for r in roots], "root string, concept string")
+    heads = local_table(spark, [(r, r) for r in roots], "root string, concept string")
     edges = candidates.select(F.col("substitution_group").alias("concept"), F.col("concept").alias("to_concept"))
     return closure(heads, edges, ["concept"]).where(~F.col("concept").isin(*roots)).select("concept", "root")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import ISO4217, XBRLI
+from ..session import local_table
 
 MONEY = "decimal(18,2)"
 
@@ -78,12 +79,12 @@ def concepts(spark: SparkSession) -> DataFrame:
         ("OrderTotal", "{t}monetaryItemType", "instant", "debit"), ("LinePrice", "{t}monetaryItemType", "instant", "debit"), ("LineDiscount", "{t}monetaryItemType", "instant", "credit"),
         ("LineTax", "{t}monetaryItemType", "instant", "debit"), ("LineCharge", "{t}monetaryItemType", "instant", "debit"), ("Returned", "{t}decimalItemType", "duration", None), ("Shipped", "{t}stringItemType", "instant", None),
     ]
-    return spark.createDataFrame(rows, "concept string, data_type string, period_type string, balance string").withColumn("abstract", F.lit(False)).coalesce(1)
+    return local_table(spark, rows, "concept string, data_type string, period_type string, balance string").withColumn("abstract", F.lit(False))
 
 
 def line_arcs(spark: SparkSession) -> DataFrame:
     rows = [("lines", "LineCharge", "LinePrice", 1.0), ("lines", "LineCharge", "LineDiscount", -1.0), ("lines", "LineCharge", "LineTax", 1.0)]
-    return spark.createDataFrame(rows, "elr string, parent string, child string, weight double").withColumns({"use": F.lit("optional"), "eq_key": F.lit(None).cast("string")}).coalesce(1)
+    return local_table(spark, rows, "elr string, parent string, child string, weight double").withColumns({"use": F.lit("optional"), "eq_key": F.lit(None).cast("string")})
 
 
 def nation_units(spark: SparkSession, sf_dir: str) -> DataFrame:

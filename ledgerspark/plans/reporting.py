@@ -11,6 +11,7 @@ from ..functions.xpath import Scope, Value, compile_expression
 from ..operators import conformance, dml, filters, formula, graph, labels, report, tables
 from ..operators.filters import BooleanFilter, DimensionFilter, TypedFilter, VariableFilter
 from ..operators.findings import finding
+from ..session import local_table
 from . import model
 
 QUERIES: dict = {}
@@ -125,7 +126,7 @@ _expression("efn_imp", "efn:imp($p gt 100000, $p gt 200000)", "boolean", f"NOT (
 CASE WHEN count(DISTINCT CAST(o_orderdate AS DATE)) = 1 THEN strftime(min(o_orderdate), '%Y-%m-%d') END AS single FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
 )
 def xfi_filing_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indicators = spark.createDataFrame([], "instance_id string, template string, filed boolean")
+    indicators = local_table(spark, [], "instance_id string, template string, filed boolean")
     whole = formula.filing_aggregates(model.contexts(spark, sf_dir), indicators)
     single = compile_expression("xfi:single-unique-instant-date()").text()
     return whole.select("instance_id", F.array_join("all_instants", ",").alias("instants"), single.alias("single"))
@@ -208,11 +209,11 @@ def table_fact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("table_excluded_cells", f"WITH {CELLS} SELECT row_ord, col_ord, NOT (n_name IS NOT NULL AND seg IN ('BUILDING', 'MACHINERY')) AS excluded FROM cells")
 def table_excluded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cubes = spark.createDataFrame([("c1", "role/t1/a", "all", True), ("c2", "role/t10", "all", True)], "cube string, elr string, arcrole string, closed boolean")
-    items = spark.createDataFrame([("c1", "Balance"), ("c2", "Balance")], "cube string, concept string")
-    roles = spark.createDataFrame([("t1", "role/t1")], "table_id string, table_elr string")
+    cubes = local_table(spark, [("c1", "role/t1/a", "all", True), ("c2", "role/t10", "all", True)], "cube string, elr string, arcrole string, closed boolean")
+    items = local_table(spark, [("c1", "Balance"), ("c2", "Balance")], "cube string, concept string")
+    roles = local_table(spark, [("t1", "role/t1")], "table_id string, table_elr string")
     nations = model.table(spark, sf_dir, "nation").select(F.lit("c1").alias("cube"), F.lit("nation").alias("dim"), F.col("n_name").alias("member"))
-    segments = spark.createDataFrame([("c1", "segment", s) for s in ("BUILDING", "MACHINERY")], "cube string, dim string, member string")
+    segments = local_table(spark, [("c1", "segment", s) for s in ("BUILDING", "MACHINERY")], "cube string, dim string, member string")
     body = _body(spark, sf_dir)
     # a row without a nation lacks the dimension that the cube asks for
     body = body.withColumn("dims", F.when(F.map_contains_key("dims", "nation"), F.col("dims")).otherwise(F.map_concat("dims", F.create_map(F.lit("nation"), F.lit("(none)")))))
@@ -300,7 +301,7 @@ def suite_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("indicator_alias_match", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS instance_id, 'table' || (event_id % 7) AS table_id FROM events WHERE value > 50")
 def indicator_alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(f"table{i}", f"b_0{i}.00") for i in range(7)], "table_id string, template string")
+    listed = local_table(spark, [(f"table{i}", f"b_0{i}.00") for i in range(7)], "table_id string, template string")
     events = model.table(spark, sf_dir, "events")
     filed = events.select(model.text("user_id").alias("instance_id"), F.concat(F.lit("ES_T_0"), model.text(F.col("event_id") % 7), F.lit(".00")).alias("template"), (F.col("value") > 50).alias("filed"))
     return tables.filed_tables(listed, filed)
@@ -404,7 +405,7 @@ def table_findings_located(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("table_facts_at", f"SELECT {ID} FROM {OC} WHERE c_mktsegment = 'BUILDING' AND o_orderpriority = '2-HIGH' AND o_orderstatus = 'O'")
 def table_facts_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([("OrderTotal", {"segment": "BUILDING", "priority": "2-HIGH"})], "concept string, dims map<string,string>")
+    asked = local_table(spark, [("OrderTotal", {"segment": "BUILDING", "priority": "2-HIGH"})], "concept string, dims map<string,string>")
     return tables.facts_at(model.order_facts(spark, sf_dir), model.contexts(spark, sf_dir), asked).select("context_id")
 
 

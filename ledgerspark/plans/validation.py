@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import canonical_context, context_id, dims_key
 from ..operators import calculation, dimensional, graph, structural
 from ..schemas import ISO4217, XBRLI
+from ..session import local_table
 from . import model
 
 QUERIES: dict = {}
@@ -116,7 +117,7 @@ def struct_period_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("struct_unresolved_unit", "SELECT 'Returned' AS concept, 'o' || l_orderkey AS context_id, count(*) AS facts FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus <> 'F' GROUP BY ALL")
 def struct_unresolved_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = spark.createDataFrame([("lines", "F")], "instance_id string, unit_id string")
+    units = local_table(spark, [("lines", "F")], "instance_id string, unit_id string")
     return structural.unresolved_units(model.quantity_facts(spark, sf_dir), units, model.concepts(spark)).groupBy("concept", "context_id").agg(F.count("*").alias("facts"))
 
 
@@ -165,8 +166,8 @@ def struct_unit_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.context_id AS context_id, a.u AS essence_unit, b.u AS alias_unit FROM f a JOIN f b ON a.context_id = b.context_id AND a.r AND NOT b.r WHERE a.u <> b.u""",
 )
 def struct_essence_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = spark.createDataFrame([("lines", u, "simple", [u], []) for u in "FO"], "instance_id string, unit_id string, form string, numerator array<string>, denominator array<string>")
-    pairs = spark.createDataFrame([("Returned", "Shipped")], "essence string, alias string")
+    units = local_table(spark, [("lines", u, "simple", [u], []) for u in "FO"], "instance_id string, unit_id string, form string, numerator array<string>, denominator array<string>")
+    pairs = local_table(spark, [("Returned", "Shipped")], "essence string, alias string")
     found = structural.essence_alias_units(model.quantity_facts(spark, sf_dir), units, pairs)
     return found.select("context_id", F.split("message", " ")[1].alias("essence_unit"), F.split("message", " ")[2].alias("alias_unit"))
 
@@ -224,16 +225,16 @@ def dim_too_many_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cubes(spark: SparkSession) -> tuple[DataFrame, ...]:
     """A closed cube over segment and priority, an open one over segment alone, and a forbidden combination."""
-    cubes = spark.createDataFrame([("narrow", "all", True, "scenario", 1), ("wide", "all", False, "scenario", 2), ("banned", "notAll", False, "scenario", 3)], "cube string, arcrole string, closed boolean, context_element string, cube_ord int")
-    items = spark.createDataFrame([(c, "OrderTotal") for c in ("narrow", "wide", "banned")], "cube string, concept string")
-    dims = spark.createDataFrame([("narrow", "segment", 1), ("narrow", "priority", 2), ("wide", "status", 1), ("banned", "segment", 1), ("banned", "priority", 2)], "cube string, dim string, dim_ord int")
+    cubes = local_table(spark, [("narrow", "all", True, "scenario", 1), ("wide", "all", False, "scenario", 2), ("banned", "notAll", False, "scenario", 3)], "cube string, arcrole string, closed boolean, context_element string, cube_ord int")
+    items = local_table(spark, [(c, "OrderTotal") for c in ("narrow", "wide", "banned")], "cube string, concept string")
+    dims = local_table(spark, [("narrow", "segment", 1), ("narrow", "priority", 2), ("wide", "status", 1), ("banned", "segment", 1), ("banned", "priority", 2)], "cube string, dim string, dim_ord int")
     segments, priorities = ("AUTOMOBILE", "BUILDING", "MACHINERY"), ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
-    members = spark.createDataFrame(
+    members = local_table(spark, 
         [*(("narrow", "segment", s) for s in segments), *(("narrow", "priority", p) for p in priorities), ("banned", "segment", "BUILDING"), ("banned", "priority", "1-URGENT"), ("wide", "status", "O")],
         "cube string, dim string, member string",
     )
-    dimensions = spark.createDataFrame([("segment", "explicit", None), ("priority", "explicit", None), ("status", "explicit", "F")], "dim string, dim_type string, default_member string")
-    return tuple(d.coalesce(1) for d in (cubes, items, dims, members, dimensions))
+    dimensions = local_table(spark, [("segment", "explicit", None), ("priority", "explicit", None), ("status", "explicit", "F")], "dim string, dim_type string, default_member string")
+    return cubes, items, dims, members, dimensions
 
 
 ORDERS = """
@@ -284,14 +285,14 @@ def dim_container_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dim_default_used", "SELECT 'o' || o_orderkey AS context_id, 'status' AS dimension FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
 def dim_default_used(spark: SparkSession, sf_dir: str) -> DataFrame:
-    concepts = spark.createDataFrame([(d, dimensional.DIMENSION_ITEM, None) for d in ("segment", "priority", "status")], "concept string, substitution_group string, typed_domain string")
+    concepts = local_table(spark, [(d, dimensional.DIMENSION_ITEM, None) for d in ("segment", "priority", "status")], "concept string, substitution_group string, typed_domain string")
     found = dimensional.context_findings(model.contexts(spark, sf_dir), concepts, _cubes(spark)[4])
     return found.where("rule_id = 'xbrldie:DefaultValueUsedInInstanceError'").select("context_id", "dimension")
 
 
 @query("dim_not_explicit", "SELECT 'xbrldie:ExplicitMemberNotExplicitDimensionError' AS rule_id, count(*) AS members FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'xbrldie:TypedMemberNotTypedDimensionError', count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 2 = 0")
 def dim_not_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    concepts = spark.createDataFrame([("segment", "other", None), ("priority", dimensional.DIMENSION_ITEM, None), ("status", dimensional.DIMENSION_ITEM, None)], "concept string, substitution_group string, typed_domain string")
+    concepts = local_table(spark, [("segment", "other", None), ("priority", dimensional.DIMENSION_ITEM, None), ("status", dimensional.DIMENSION_ITEM, None)], "concept string, substitution_group string, typed_domain string")
     found = dimensional.context_findings(model.contexts(spark, sf_dir), concepts, _cubes(spark)[4])
     return found.where("rule_id LIKE '%MemberNot%'").groupBy("rule_id").agg(F.count("*").alias("members"))
 

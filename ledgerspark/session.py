@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -33,3 +35,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def local_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A few rows as a relation whose size the planner knows, so that it can broadcast them.
+
+    Rows given to createDataFrame() become an RDD of unknown size, which joins by a shuffle of both sides.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shape = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(shape)
+    columns = list(zip(*rows, strict=True)) or [[] for _ in arrow]
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow), shape)
