@@ -96,7 +96,7 @@ def _link(node: Node, path: str, base: str, catalog) -> Iterator[tuple[str, dict
             yield "arc", {
                 "link": link, "elr": elr, "arcrole": child.get(f"{XLINK}arcrole"), "source": child.get(f"{XLINK}from"), "target": child.get(f"{XLINK}to"), "ord": float(child.get("order", "1")), "weight": float(child.get("weight", "1")),
                 "use": child.get("use", "optional"), "priority": int(child.get("priority", "0")), "key": key, "preferred_label": child.get("preferredLabel"), "closed": pick("closed") in ("true", "1"),
-                "context_element": pick("contextElement"), "usable": pick("usable") not in ("false", "0"), "target_role": pick("targetRole"), "name": pick("name"), "complement": pick("complement") in ("true", "1"),
+                "context_element": pick("contextElement"), "usable": pick("usable") not in ("false", "0"), "target_role": pick("targetRole"), "name": pick("name"), "complement": pick("complement") in ("true", "1"), "axis": pick("axis"),
             }
         elif kind == "resource":
             yield "resource", {
@@ -116,14 +116,20 @@ def _implementation(node: Node) -> dict:
 
 
 def _aspects(node: Node) -> dict:
-    """Names and values inside a rule or filter: concept, period, dimensions and members, as Clark text."""
-    concept = next((n.name(n.all_text()) for n in node.walk() if n.local == "qname" and "dimension" not in n.tag), None)
-    dims = {}
+    """Names inside a rule or filter as Clark text: its concept, the members a rule sets by dimension, and the
+    dimension (axis) and members that a dimension filter asks for."""
+    name_in = lambda part: next((n.name(n.text) for n in part.walk() if n.local == "qname" and n.text), None) if part is not None else None
+    found = {}
+    if node.local in ("explicitDimension", "typedDimension"):
+        found["axis"] = name_in(node.find("dimension")) or ""
+        found |= {f"member:{i}": name_in(m) or "" for i, m in enumerate(c for c in node if c.local == "member")}
+        return found
     for part in node.walk():
         if part.local == "explicitDimension" and part.get("dimension"):
-            member = next((n.name(n.text) for n in part.walk() if n.local in ("qname", "member") and n.text), None)
-            dims[part.name(part.get("dimension"))] = member or ""
-    return {"concept": concept or "", **{f"dim:{d}": m for d, m in dims.items() if d}}
+            found[f"dim:{part.name(part.get('dimension'))}"] = name_in(part.find("member")) or ""
+    holder = next((n for n in node.walk() if n.local == "concept"), None)
+    found["concept"] = name_in(holder) or ""
+    return found
 
 
 class Taxonomy:
@@ -133,7 +139,7 @@ class Taxonomy:
     what no catalog prefix covers are listed by skipped().
     """
 
-    ARC = "link string, elr string, arcrole string, source string, target string, ord double, weight double, use string, priority int, key string, preferred_label string, closed boolean, context_element string, usable boolean, target_role string, name string, complement boolean"
+    ARC = "link string, elr string, arcrole string, source string, target string, ord double, weight double, use string, priority int, key string, preferred_label string, closed boolean, context_element string, usable boolean, target_role string, name string, complement boolean, axis string"
     RESOURCE = "link string, elr string, label string, id string, tag string, local string, role string, lang string, text string, attributes map<string,string>, aspects map<string,string>"
 
     def __init__(self, spark: SparkSession, entries: list[str], catalog: Mapping[str, str] | None = None):
@@ -244,22 +250,27 @@ class Taxonomy:
         return found.select("concept", "text", "lang", "role", "source", "priority")
 
     def breakdown_nodes(self) -> DataFrame:
-        """Nodes of table axes: rule and aspect nodes with their parent, order, codes and constraints.
+        """Nodes of table axes: rule and aspect nodes with their axis, parent, order, codes and constraints.
 
-        The tables' own arcs tell the axis; a node that no arc leads to stands at the top of its table.
+        A table's arcs to its breakdowns name the axes; the nodes that a breakdown leads to stand at the top.
         """
-        nodes = self.resources().where(F.col("local").isin("ruleNode", "aspectNode", "definitionNode", "conceptRelationshipNode", "dimensionRelationshipNode"))
-        tree = self.arcs().where(F.col("arcrole").rlike("(definition-node-subtree|breakdown-tree)$"))
-        axes = self.arcs().where(F.col("arcrole").rlike("table-breakdown$"))
-        axis = relation(self.rows, "arc", "link string, target string, arcrole string").where(F.col("arcrole").rlike("table-breakdown$")).select("link", F.col("target").alias("breakdown"))
-        top = tree.join(axis, (tree["link"] == axis["link"]) & (tree["source"] == axis["breakdown"]), "left_semi")
-        under = tree.join(axis, (tree["link"] == axis["link"]) & (tree["source"] == axis["breakdown"]), "left_anti").select("link", F.col("target").alias("node_id"), F.col("source").alias("parent_id"), "ord")
-        first = top.select("link", F.col("target").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), "ord")
-        del axes
-        placed = nodes.withColumnRenamed("label", "node_id").join(under.unionByName(first), ["link", "node_id"], "left")
+        from ..operators.graph import closure
+
+        nodes = self.resources().where(F.col("local").isin("ruleNode", "aspectNode", "definitionNode", "conceptRelationshipNode", "dimensionRelationshipNode")).withColumnRenamed("label", "node_id")
+        tree = self.arcs().where(F.col("arcrole").rlike("(definition-node-subtree|breakdown-tree)$")).select("link", "source", "target", "ord")
+        axes = self.arcs().where(F.col("arcrole").rlike("table-breakdown$")).select("link", F.col("target").alias("node"), "axis").dropDuplicates(["link", "node"])
+        edges = tree.select("link", F.col("source").alias("node"), F.col("link").alias("to_link"), F.col("target").alias("to_node"))
+        on_axis = closure(axes.select("axis", "link", "node"), edges, ["link", "node"]).select("link", F.col("node").alias("node_id"), "axis")
+        known = nodes.select("link", F.col("node_id").alias("parent_id"))
+        parents = tree.select("link", F.col("target").alias("node_id"), F.col("source").alias("parent_id"), "ord")
+        placed = parents.join(known.withColumn("is_node", F.lit(True)), ["link", "parent_id"], "left").select("link", "node_id", F.when(F.col("is_node"), F.col("parent_id")).alias("parent_id"), "ord")
         dims = F.map_from_entries(F.transform(F.filter(F.map_entries("aspects"), lambda e: F.startswith(e["key"], F.lit("dim:"))), lambda e: F.struct(F.substring(e["key"], 5, 10000), e["value"])))
         flag = lambda name, default: F.coalesce(F.element_at("attributes", name).isin("true", "1"), F.lit(default))
-        return placed.select(F.col("link").alias("table_id"), F.lit("?").alias("axis"), "node_id", "parent_id", F.coalesce("ord", F.lit(1.0)).alias("ord"), F.element_at("attributes", "tagSelector").alias("label"), F.col("id").alias("code"), flag("abstract", False).alias("is_abstract"), (F.coalesce(F.element_at("attributes", "parentChildOrder"), F.lit("parent-first")) == "parent-first").alias("parent_first"), F.nullif(F.element_at("aspects", "concept"), F.lit("")).alias("concept"), dims.alias("dims"))
+        found = nodes.join(placed, ["link", "node_id"], "left").join(on_axis, ["link", "node_id"], "left")
+        return found.select(
+            F.col("link").alias("table_id"), F.coalesce("axis", F.lit("?")).alias("axis"), "node_id", "parent_id", F.coalesce("ord", F.lit(1.0)).alias("ord"), F.element_at("attributes", "tagSelector").alias("label"), F.col("id").alias("code"),
+            flag("abstract", False).alias("is_abstract"), (F.coalesce(F.element_at("attributes", "parentChildOrder"), F.lit("parent-first")) == "parent-first").alias("parent_first"), F.nullif(F.element_at("aspects", "concept"), F.lit("")).alias("concept"), dims.alias("dims"),
+        )
 
     def has_assertions(self) -> bool:
         return not self.resources().where(F.col("local").rlike("^(value|existence|consistency)Assertion$")).limit(1).isEmpty()
@@ -297,14 +308,14 @@ class Taxonomy:
         from ..operators.filters import BooleanFilter, DimensionFilter, TypedFilter, VariableFilter
         from ..operators.formula import Assertion
 
-        resources = {(r.link, r.label): r for r in self.resources().where(F.col("local").rlike("Assertion$|^factVariable$|^(conceptName|instantDuration|period|explicitDimension|typedDimension|general|andFilter|orFilter)$")).collect()}
+        resources = {(r.link, r.label): r for r in self.resources().where(F.col("local").rlike("Assertion$|^factVariable$|^(conceptName|instant|duration|period|explicitDimension|typedDimension|general|andFilter|orFilter)$")).collect()}
         arcs: dict = {}
         for a in self.arcs().where(F.col("arcrole").rlike("variable|boolean-filter")).orderBy("ord").collect():
             arcs.setdefault((a.link, a.source), []).append(a)
 
         def dimension(r, complement: bool):
-            dim = r.aspects.get("concept") or ""
-            members = tuple(v for k, v in r.aspects.items() if k.startswith("dim:") and v)
+            dim = r.aspects.get("axis") or ""
+            members = tuple(v for k, v in sorted(r.aspects.items()) if k.startswith("member:") and v)
             return TypedFilter(dim, complement) if r.local == "typedDimension" else DimensionFilter(dim, members, complement)
 
         def boolean(link, label, complement: bool):
@@ -321,16 +332,16 @@ class Taxonomy:
                     continue
                 if r.local == "conceptName":
                     parts["concept"] = r.aspects.get("concept") or None
-                elif r.local == "instantDuration":
-                    parts["period_type"] = r.attributes.get("variable") or "instant"
+                elif r.local in ("instant", "duration"):
+                    parts.setdefault("period_type", r.local)
                 elif r.local in ("general", "period"):
                     parts["xpaths"].append(r.attributes.get("test", "true()"))
-                elif r.local in ("andFilter", "orFilter"):
-                    parts["booleans"].append(boolean(link, a.target, a.complement))
+                elif r.local in ("andFilter", "orFilter"):  # complements are read inside boolean filters alone
+                    parts["booleans"].append(boolean(link, a.target, False))
                 elif r.local == "typedDimension":
-                    parts["typed"].append(dimension(r, a.complement))
+                    parts["typed"].append(dimension(r, False))
                 elif r.local == "explicitDimension":
-                    parts["dimensions"].append(dimension(r, a.complement))
+                    parts["dimensions"].append(dimension(r, False))
             return VariableFilter(**parts)
 
         found = []
