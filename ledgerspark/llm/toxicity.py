@@ -36,6 +36,8 @@ from .common import materialize, read, small_batches
 #: Labelled rows and features that the fit looks at, at most; FOLDS-th part of the ids is held out.
 SAMPLE, FEATURES, FOLDS = 20_000, 20_000, 5
 THRESHOLD = 0.5
+#: Features that stand in where the labelled texts are too few for any to be sure.
+FALLBACK = 50
 #: Letters that a sign or digit may stand for, the likeliest first.
 LOOK_ALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -270,8 +272,10 @@ def candidate_features(rows: DataFrame, model: CharacterModel, features: int = F
     # what chance alone gives few of all features
     least = 1.5 * math.log(max(2, counted.count()))
     over = counted.where((F.col("feature") != "") & (F.col("toxic") > 0)).where(F.col("toxic") / seen > prior)
-    strong = over.withColumn("evidence", evidence).where(F.col("evidence") > least)
-    return [r.feature for r in strong.orderBy(F.col("evidence").desc(), "feature").limit(features).select("feature").collect()]
+    ranked = over.withColumn("evidence", evidence).orderBy(F.col("evidence").desc(), "feature").limit(features).select("feature", "evidence").collect()
+    strong = [r.feature for r in ranked if r.evidence > least]
+    # few texts bear out nothing beyond chance; the best there is still tells more than the labels' share
+    return strong or [r.feature for r in ranked[:FALLBACK]]
 
 
 def fit(rows: DataFrame, model: CharacterModel, sample: int = SAMPLE, features: int = FEATURES) -> tuple[dict[str, int], np.ndarray, float]:
