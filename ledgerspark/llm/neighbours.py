@@ -34,6 +34,8 @@ DEGREE, BEAM, ALPHA, WIDTH = 36, 160, 1.2, 4
 K = 20
 #: Vectors added to a graph at once, at most.
 BATCH = 512
+#: Tasks that the pairs of shards and blocks are dealt out to, at most; a task takes its pairs one by one.
+SEARCH_TASKS = 10_000
 
 
 def _prune(own: np.ndarray, candidates: np.ndarray, points: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -237,7 +239,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "v
     dealt = wanted.groupBy(F.size("embedding").alias("dim"), F.pmod("second", F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("key", "second", "embedding")).alias("q"))
     dealt = dealt.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("q.key").alias("keys"), F.col("q.second").alias("seconds"), F.col("q.embedding").alias("queries"))
     pairs = dealt.join(index, ["dim", "shard"])
-    found = _search(pairs.repartition(shards * blocks, "dim", "shard", F.hash("keys")), k, beam)
+    found = _search(pairs.repartition(min(shards * blocks, SEARCH_TASKS), "dim", "shard", F.hash("keys")), k, beam)
     by_key = Window.partitionBy("key", "second").orderBy(F.col("score").desc(), "vec_id")
     best = found.withColumn("_nth", F.row_number().over(by_key)).where(F.col("_nth") <= k + 1).drop("_nth")
     by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
