@@ -210,3 +210,18 @@ def test_arrivals(spark, tmp_path):
     query = publish(arriving(spark, str(tmp_path / "in"), "instance_id string, context_id string"), lambda b: b.join(known, ["instance_id", "context_id"], "left_anti"), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(120)
     assert [r.context_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["c2"]
+
+
+def test_finding_rates(spark, tmp_path):
+    import datetime
+
+    from ledgerspark.streaming.arrivals import arriving, finding_rates
+
+    at = lambda minute: datetime.datetime(2024, 12, 31, 12, minute)
+    rows = spark.createDataFrame([("r", at(1)), ("r", at(9)), ("r", at(11)), ("s", at(2))], "rule_id string, at timestamp")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = finding_rates(arriving(spark, str(tmp_path / "in"), "rule_id string, at timestamp"))
+    query = stream.writeStream.outputMode("complete").format("memory").queryName("rates").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    found = spark.table("rates").collect()
+    assert sorted((r.rule_id, r.window.start.minute, r.findings) for r in found) == [("r", 0, 2), ("r", 10, 1), ("s", 0, 1)]
