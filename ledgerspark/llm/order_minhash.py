@@ -68,10 +68,9 @@ def signature(text: str, k: int = K, bins: int = BINS, per_bin: int = PER_BIN) -
     with np.errstate(over="ignore"):
         hashes = _mix(_kmers(codes + np.uint64(1), min(k, len(codes))) + P1)
         n = len(hashes)
-        low = np.uint64((1 << n.bit_length()) - 1)
-        place = np.arange(n, dtype=np.uint64)
-        ordered = np.sort((hashes & ~low) | place)
-        kmer, place = ordered & ~low, ordered & low
+        # stable, so equal k-mers stay in text order; whole hashes, so a key depends on nothing but the k-mer and its number
+        place = np.argsort(hashes, kind="stable")
+        kmer = hashes[place]
         rank = np.arange(n)
         opens = np.empty(n, bool)
         opens[0] = True
@@ -79,11 +78,11 @@ def signature(text: str, k: int = K, bins: int = BINS, per_bin: int = PER_BIN) -
         occurrence = rank - np.maximum.accumulate(np.where(opens, rank, 0))
         key = _mix(kmer + occurrence.astype(np.uint64) * P1)
         bits = np.uint64(bins.bit_length() - 1)
-        chosen = _least(key, place, low, bins, bits, per_bin, min(1.0, CANDIDATES * bins / n))
+        chosen = _least(key, place.astype(np.uint64), bins, bits, per_bin, min(1.0, CANDIDATES * bins / n))
     return chosen
 
 
-def _least(key, place, low, bins, bits, per_bin, share) -> np.ndarray:
+def _least(key, place, bins, bits, per_bin, share) -> np.ndarray:
     if share < 1:
         some = (key << bits) < np.uint64(int(share * 2**64))
         few, where = key[some], place[some]
@@ -95,7 +94,7 @@ def _least(key, place, low, bins, bits, per_bin, share) -> np.ndarray:
     starts = np.searchsorted(few >> shift, np.arange(bins + 1, dtype=np.uint64))
     counts = np.diff(starts)
     if share < 1 and (counts < per_bin).any():  # some bin may hold further k-mers
-        return _least(key, place, low, bins, bits, per_bin, 1.0)
+        return _least(key, place, bins, bits, per_bin, 1.0)
     result = np.zeros(bins, np.uint64)
     index = starts[:-1, None] + np.arange(per_bin)
     there = np.arange(per_bin) < counts[:, None]

@@ -210,6 +210,16 @@ def test_order_minhash_sees_order():
     assert order_minhash.likeness(own, order_minhash.signature(edited)) > order_minhash.likeness(own, order_minhash.signature(shuffled))
 
 
+@pytest.mark.parametrize("kmers", [1000, 1023, 2047, 4090])
+def test_order_minhash_of_a_longer_text(kmers):
+    """A few characters more don't change the keys of the k-mers before them, on either side of a power of two."""
+    rng = random.Random(kmers)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(kmers + order_minhash.K - 1))
+    for more in (2, 20):
+        longer = text + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(more))
+        assert order_minhash.likeness(order_minhash.signature(text), order_minhash.signature(longer)) > 0.85
+
+
 def plain_lines(text):
     out, start = [], 0
     for i, c in enumerate(text):
