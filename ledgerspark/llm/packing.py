@@ -2,7 +2,7 @@
 
 A task's documents are taken in shards of bounded size. A shard's token ids make an inverted index (postings
 by token with BM25 weights). Documents give off full windows of their own; a window then opens with the next
-document that has ids left as its seed, whose heaviest terms look up unused neighbours, best first, until the
+document that has ids left as its seed, whose terms look up unused neighbours, best first, until the
 window is full. The neighbour that passes the end is cut there, and its rest seeds the next window, so windows
 of a task have no padding at all; a window that is still open at the end of a shard is filled from the next
 shard. What is left at the end of a task is cut at powers of two, which need no padding either.
@@ -31,8 +31,8 @@ WINDOW, END_ID = 1024, 0
 #: A shard closes at so many documents or ids.
 SHARD_DOCS, SHARD_IDS = 2048, 4_000_000
 K1, B = 1.2, 0.75
-#: Terms of a seed that look up its neighbours.
-TERMS = 12
+#: Terms in so large a share of a shard's documents are kept as rows of a matrix, the others as postings.
+COMMON = 1/32
 #: Room for a task's sequences in an id.
 TASK_BITS = 33
 
@@ -91,18 +91,28 @@ class Index:
         by_term = np.argsort(term, kind="stable")
         self.at = np.concatenate([[0], np.cumsum(df)])
         self.posted, self.posted_weight = doc[by_term], self.weight[by_term]
-
-    def neighbours(self, doc: int, terms: int = TERMS) -> np.ndarray:
-        """Documents that share one of the seed's heaviest terms, best first, ties in order."""
+        common = np.flatnonzero(df >= max(2, COMMON * len(docs)))
+        self.row = np.full(len(df), -1)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), len(docs)), np.float32)
+        there = self.row[term] >= 0
+        self.matrix[self.row[term[there]], doc[there]] = self.weight[there]
+
+    def neighbours(self, doc: int, terms: int | None = None) -> np.ndarray:
+        """Documents by the BM25 scores of all the seed's terms (or of its `terms` heaviest), best first, ties in order."""
         a, b = self.own[doc], self.own[doc + 1]
         weight = self.weight[a:b]
-        top = np.argpartition(weight, len(weight) - terms)[-terms:] if len(weight) > terms else np.arange(len(weight))
+        top = np.argpartition(weight, len(weight) - terms)[-terms:] if terms and len(weight) > terms else np.arange(len(weight))
         top = np.sort(top[weight[top] > 0])
         if not len(top):
             return top
-        spans = [slice(self.at[t], self.at[t + 1]) for t in self.term[a + top].tolist()]
-        found = np.concatenate([self.posted[s] for s in spans])
-        score = np.bincount(found, np.concatenate([self.posted_weight[s] for s in spans]))
+        own = self.term[a + top]
+        row = self.row[own]
+        score = self.matrix[row[row >= 0]].sum(axis=0).astype(np.float64)
+        spans = [slice(self.at[t], self.at[t + 1]) for t in own[row < 0].tolist()]
+        if spans:
+            found = np.concatenate([self.posted[s] for s in spans])
+            score += np.bincount(found, np.concatenate([self.posted_weight[s] for s in spans]), self.n)
         hits = np.flatnonzero(score)
         return hits[np.argsort(-score[hits], kind="stable")]
 

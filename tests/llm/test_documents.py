@@ -341,6 +341,23 @@ def test_bm25_against_the_formula():
         assert all(score[a] >= score[b] - 1e-3 for a, b in zip(near, near[1:]))
 
 
+def test_bm25_of_all_terms_as_packed():
+    """As the packer asks for them, without a number of terms: light terms count and find documents too."""
+    rng = random.Random(13)
+    docs = [np.array([t for t in range(400) if rng.random() < (0.05 + 0.9 * (t % 4 == 0))], np.uint32) for _ in range(60)]
+    docs += [np.array([2000 + i, 2000 + i, *range(20)], np.uint32) for i in range(20)] + [np.array([2000 + i for i in range(20) for _ in range(9)] + [2100], np.uint32), np.array([2100], np.uint32)]
+    index = packing.Index(docs)
+    mean = sum(map(len, docs)) / len(docs)
+    counts = [dict(zip(*np.unique(d, return_counts=True))) for d in docs]
+    df = {t: sum(t in c for c in counts) for t in {t for c in counts for t in c}}
+    for seed in range(len(docs)):
+        shared = [[t for t in counts[seed] if t in c and df[t] > 1] for c in counts]
+        score = [sum(math.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * (packing.K1 + 1) / (c[t] + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) for t in own) for own, c, d in zip(shared, counts, docs)]
+        near = index.neighbours(seed).tolist()
+        assert set(near) == {i for i, s in enumerate(score) if s > 0}
+        assert all(score[a] >= score[b] - 1e-3 for a, b in zip(near, near[1:]))
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(12)
