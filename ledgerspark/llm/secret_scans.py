@@ -34,7 +34,7 @@ KINDS = (
     ("hex", "[0-9a-f]{24,}", 0, 24),  # a maximal run, so its least length can stand in the pattern
 )
 LEAST = 20
-#: Only strings with a digit can be random tokens; words of any language are left out before the battery.
+#: All such strings enter the battery, those of letters alone too.
 TOKEN = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: (encoding, what a string of it looks like, its alphabet), the narrowest first.
@@ -82,7 +82,7 @@ def _matches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     before = Window.partitionBy("row", "kind").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("end", F.sum("length").over(before)).withColumn("start", F.col("end") - F.col("length"))
     counts = [F.length(F.regexp_extract("match", pattern, group)) >= least for _, pattern, group, least in KINDS]
-    counted = reduce(lambda rest, k: F.when(F.col("kind") == k[0][0], k[1]).otherwise(rest), zip(KINDS, counts), F.col("match").isNotNull() & F.regexp_like("match", F.lit("[0-9]")))
+    counted = reduce(lambda rest, k: F.when(F.col("kind") == k[0][0], k[1]).otherwise(rest), zip(KINDS, counts), F.col("match").isNotNull())
     return placed.where(F.col("kind").isNull() | ((F.col("turn") % 2 == 1) & counted) | (F.col("turn") == 0)).withColumn("match", F.when(F.col("turn") % 2 == 1, F.col("match")))
 
 

@@ -45,6 +45,15 @@ def test_battery_finds_random_strings_and_leaves_words(spark):
     assert all(got[i] in ([], [("random", 4, 52)]) for i in range(30))
 
 
+def test_strings_of_letters_alone_are_tested(spark):
+    rng = random.Random(7)
+    keys = ["".join(rng.choice(string.ascii_letters) for _ in range(40)) for _ in range(30)]
+    words = ["Donaudampfschifffahrtsgesellschaft", "internationalizationOfReleaseCandidates", "src/main/resources/configuration/defaults", "pneumonoultramicroscopicsilicovolcanoconiosis", "a" * 40, "=" * 30, "-" * 50, "_" * 25]
+    got = spans(spark, [*enumerate(f"see {k} there" for k in keys), *((100 + i, f"see {w} there") for i, w in enumerate(words))])
+    assert sum(got[i] == [("random", 4, 44)] for i in range(30)) >= 27
+    assert [w for i, w in enumerate(words) if got[100 + i]] == []
+
+
 def test_base_spans_are_not_covered_again(spark):
     key = "q9Zx7LmP2vB8nK4tR6wY1cJ5hF3gD0sAeUiOoTzQ"
     got = spans(spark, [(1, f"token = {key}"), (2, None), (2, "")])
