@@ -2,7 +2,8 @@
 
 A character trigram model counts every document. A token that mixes letters with look-alike digits and signs,
 repeats a letter more than twice or sets its letters apart is read as a lattice: each look-alike may stand for its letters, a
-repeat for one or two letters, a sign between letters for nothing. Viterbi decoding under the character model
+repeat for one or two letters, a sign between letters for nothing, and in a run of
+single characters a word may end behind each. Viterbi decoding under the character model
 gives the likeliest words. The restored text (its words and their beginnings) is scored by a logistic model.
 
 The model is fitted to a sample of at most SAMPLE labelled rows (those of the least hash), from which at most
@@ -128,34 +129,53 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return places
 
 
-def decode(token: str, model: CharacterModel, paths: int = PATHS) -> list[str]:
-    """The likeliest words behind a token, the best first: Viterbi over the lattice with two letters as state."""
+def _spelt(path: tuple | None) -> str:
+    """The letters of a path, which holds its last ones and the path before them."""
+    letters = []
+    while path:
+        path, last = path
+        letters.append(last)
+    return "".join(reversed(letters))
+
+
+def _score(path: tuple[float, tuple | None]) -> float:
+    return path[0]
+
+
+def decode(token: str, model: CharacterModel, paths: int = PATHS, borders: bool = False) -> list[str]:
+    """The likeliest words behind a token, the best first: Viterbi over the lattice with two letters as state.
+
+    With borders a word may end behind each letter: the token is a run whose letters were all set apart.
+    """
     table = model.table
-    states: dict[tuple[int, int], list[tuple[float, str]]] = {(BORDER, BORDER): [(0.0, "")]}
+    states: dict[tuple[int, int], list[tuple[float, tuple | None]]] = {(BORDER, BORDER): [(0.0, None)]}
     for readings in lattice(token):
+        if borders:
+            readings = readings + [(letters + " ", channel) for letters, channel in readings if letters]
         spelt = [(letters, channel, [_symbol(c) for c in letters]) for letters, channel in readings]
-        reached: dict[tuple[int, int], list[tuple[float, str]]] = {}
+        reached: dict[tuple[int, int], list[tuple[float, tuple | None]]] = {}
         for (a, b), best in states.items():
             for letters, channel, signs in spelt:
                 x, y, gain = a, b, channel
                 for s in signs:
                     gain += table[x][y][s]
                     x, y = y, s
-                new = [(score + gain, word + letters) for score, word in best]
+                new = [(score + gain, (word, letters) if letters else word) for score, word in best]
                 if (x, y) in reached:
-                    reached[x, y] = sorted(reached[x, y] + new, reverse=True)[:2]
+                    reached[x, y] = sorted(reached[x, y] + new, key=_score, reverse=True)[:2]
                 else:
                     reached[x, y] = new
         states = reached
-    ends = [(score + table[a][b][BORDER], word) for (a, b), best in states.items() for score, word in best if word]
-    return list(dict.fromkeys(word for _, word in sorted(ends, reverse=True)))[:paths]
+    # behind a border that closes the last word nothing more is to be paid
+    ends = [(score + (0.0 if borders and b == BORDER else table[a][b][BORDER]), word) for (a, b), best in states.items() for score, word in best if word]
+    return list(dict.fromkeys(_spelt(word).rstrip() for _, word in sorted(ends, key=_score, reverse=True)[: 4 * paths]))[:paths]
 
 
 def suspicious(token: str) -> bool:
     """Whether a token without outer signs may hide a word."""
     if token.isalpha():
-        return len(token) <= 64 and REPEAT.search(token) is not None
-    if not 3 <= len(token) <= 64:
+        return REPEAT.search(token) is not None
+    if len(token) < 3:
         return False
     letters = sum(map(str.isalpha, token))
     return letters > 0 and 3 * letters >= len(token) - sum(map(token.count, APART))
@@ -180,12 +200,14 @@ class Reader:
     def __init__(self, model: CharacterModel, known: dict[str, int] | None = None):
         self.model, self.known, self.seen = model, known, {}
 
-    def token(self, raw: str) -> tuple:
+    def token(self, raw: str, spaced: bool = False) -> tuple:
         words = set()
         for shape in shapes(raw):
             words.add(shape)
             if suspicious(shape):
                 words.update(decode(shape, self.model))
+            if spaced and any(map(str.isalpha, shape)):
+                words.update(word for words_ in decode(shape, self.model, borders=True) for word in words_.split())
         names = {name for word in words if word for name in _named(word)}
         if self.known is None:
             return tuple(names)
@@ -202,7 +224,7 @@ class Reader:
         for raw in tokens:
             names = seen.get(raw)
             if names is None:
-                names = self.token(raw.strip())
+                names = self.token(raw.strip(), raw[-1] == " ")
                 if len(raw) <= 64:
                     seen[raw] = names
             if names:

@@ -403,3 +403,15 @@ def test_restore():
     model = toxicity.CharacterModel(counts)
     assert toxicity.restore("such $tup1d i d i o t\nwalks", model) == "such stupid idiot\nwalks"
     assert toxicity.restore(None, model) == ""
+
+
+def test_spaced_runs_and_long_tokens_give_their_words():
+    counts = np.zeros(toxicity.SYMBOLS**3)
+    for text in ["such a stupid idiot", "you idiot", "a moron", *WORDS] * 20:
+        s = toxicity.symbols(f"  {text} ")
+        np.add.at(counts, (s[:-2] * toxicity.SYMBOLS + s[1:-1]) * toxicity.SYMBOLS + s[2:], 1)
+    read = toxicity.Reader(toxicity.CharacterModel(counts))
+    for text, word in [("such a m o r o n", "moron"), ("y o u i d i o t", "idiot"), ("y 0 u 1 d 1 0 t", "idiot"), ("stup" + "i" * 70 + "d", "stupid"), ("m" + "." * 80 + "o.r.o.n", "moron")]:
+        assert f"w:{word}" in read(text), text
+    long = "y o u i d i o t " * 40
+    assert "w:idiot" in read(long)
