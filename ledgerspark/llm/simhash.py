@@ -27,11 +27,11 @@ from itertools import accumulate, combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, read, small_batches
+from .common import materialize, read, small_batches, text_or_empty
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -65,8 +65,8 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, seed: int = SEED, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint's bits as a signed long; with the column key of docs if keyed."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf(T.LongType())
@@ -74,7 +74,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t, width, seed) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(docs[f"`{doc_id}`"].alias("doc_id"), prints(docs[f"`{text}`"]).alias("fp"))
+    key = ["key"] if keyed else []
+    return docs.select(docs[f"`{doc_id}`"].alias("doc_id"), *key, prints(docs[f"`{text}`"]).alias("fp"))
 
 
 def thermometer(fp):
@@ -178,27 +179,36 @@ def links(distinct: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFr
     return dealt.mapInArrow(linked, "u long, v long").distinct()
 
 
+def _rooted(prints: DataFrame, least: Column, radius: int) -> DataFrame:
+    """(fp, root, least): each distinct fingerprint of prints, its component's name and the least of its rows."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min(least).alias("least")), "fps")
+    joined = components(links(distinct, radius))
+    return distinct.join(joined, F.col("fp") == F.col("u"), "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id): a row for each row of docs, component_id the least doc_id it is linked to."""
     prints = materialize(fingerprints(docs, doc_id, text), "prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    joined = components(links(distinct, radius))
-    rooted = distinct.join(joined, F.col("fp") == F.col("u"), "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
+    rooted = _rooted(prints, F.col("doc_id"), radius)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = materialize(rooted.join(least, "root").select("fp", "component_id"), "classes")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs without all but one document of each class: the one with the least doc_id, once.
+    """docs without all but one row of each class: the one of the least doc_id (a null one comes last), then the least text hash.
 
-    Rows without a doc_id can't be told apart by it and all stay.
+    Rows of one doc_id are told apart by their texts, so unlike texts under one doc_id are all kept; of rows equal
+    in doc_id and text one is kept. Null texts count as empty, and texts without words form one class. Columns of
+    any names are kept.
     """
-    kept = classes(docs, radius=radius).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.join(materialize(kept, "kept"), F.col("doc_id") == F.col("kept_id")).drop("kept_id")
-    rows = rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
+    key = F.xxhash64("doc_id", text_or_empty())
+    prints = materialize(fingerprints(docs.select("doc_id", "text", key.alias("key")), keyed=True), "prints")
+    rooted = _rooted(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"), radius)
+    kept = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_key")), "kept")
+    rows = docs.select(F.struct("*").alias("_row"), key.alias("_key")).join(kept, "_key", "left_semi")
+    # rows equal in doc_id and text meet in partial aggregates first, so many of them cost a task little
+    return rows.groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,10 +171,20 @@ def test_simhash_links_over_crowded_cells(spark):
 
 def test_near_dedup_keeps_one_of_each_class(spark):
     rows = awkward(random.Random(3))
+    docs = table(spark, rows)
+    kept = simhash.near_dedup(docs).collect()
+    classes = {(f, c) for none, _, f, c in plain_classes(rows) if c is not None}
+    assert simhash.near_dedup(docs).columns == docs.columns
+    assert sorted(r.doc_id for r in kept) == sorted({c for _, c in classes})
+    assert simhash.near_dedup(table(spark, [])).count() == 0
+
+
+def test_near_dedup_keeps_unlike_texts_under_one_id(spark):
+    rng = random.Random(4)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    rows = [(8, a), (8, b), (9, c), (8, a), (9, a), (None, d), (None, d), (None, b), (10, None), (11, "")]
     kept = simhash.near_dedup(table(spark, rows)).collect()
-    classes = {(f, c) for none, _, f, c in plain_classes(rows) if not none and c is not None}
-    assert len([r for r in kept if r.doc_id is not None]) == len({c for _, c in classes})
-    assert len([r for r in kept if r.doc_id is None]) == 2
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in kept), key=str) == sorted([(False, 8, a), (False, 8, b), (False, 9, c), (True, 0, d), (False, 10, None)], key=str)
 
 
 def test_order_minhash(spark):
