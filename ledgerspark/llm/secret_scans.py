@@ -4,12 +4,16 @@ Each kind's matches are marked in the text, and the marked text is cut at the ma
 sums of the pieces' lengths. Only lengths and matches leave the scan.
 
 The battery judges maximal strings of token characters of LEAST or more that overlap no fixed match. The
-string's encoding is inferred from the characters it uses. Then
-* a chi-squared statistic of its symbol counts against a uniform alphabet is compared with what text written
-  in that alphabet would give, a distribution whose mean grows with the length: the lower tail is the p-value
-  of "this is text", which short strings can't make small;
-* a runs test (symbols in the upper or lower half of the alphabet) and a lag-one serial correlation must
-  agree with randomness, jointly at level UNIFORM by Fisher's method; else the p-value is 1.
+string's encoding is inferred from the characters it uses. Three statistics tell it from text written in that alphabet:
+* a chi-squared statistic of its symbol counts against a uniform alphabet, compared with what text would give, a
+  distribution whose mean grows with the length;
+* a runs test over the kinds of characters (small, capital, digit, sign): text and identifiers change kind seldom,
+  random strings of narrow alphabets do so often, which parts them where symbol counts hardly differ;
+* a runs test over vowels and consonants, which text alternates and random letters don't.
+Their tails, as far as the alphabet has them, are joined by Fisher's method into the p-value of "this is text",
+which short strings can't make small. A runs test (symbols in the upper or lower half of the alphabet) and a
+lag-one serial correlation must agree with randomness, jointly at level UNIFORM by Fisher's method; else the
+p-value is 1. Digits alone have only the first statistic, which has no power there: numbers are never added.
 P-values of one encoding and length class are controlled together: the Benjamini-Hochberg rule at rate RATE,
 over a histogram of p-values that has a fixed number of cells.
 
@@ -36,6 +40,7 @@ KINDS = (
 LEAST = 20
 #: All such strings enter the battery, those of letters alone too.
 TOKEN = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+VOWELS = "aeiouy"
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: (encoding, what a string of it looks like, its alphabet), the narrowest first.
 ENCODINGS = (
@@ -43,6 +48,7 @@ ENCODINGS = (
     ("hex", "^[0-9a-f]+$", DIGIT + "abcdef"),
     ("hexupper", "^[0-9A-F]+$", DIGIT + "ABCDEF"),
     ("lower", "^[a-z]+$", LOWER),
+    ("upper", "^[A-Z]+$", UPPER),
     ("base32", "^[A-Z2-7]+$", UPPER + "234567"),
     ("base36", "^[0-9a-z]+$", DIGIT + LOWER),
     ("base36upper", "^[0-9A-Z]+$", DIGIT + UPPER),
@@ -50,14 +56,33 @@ ENCODINGS = (
 )
 #: Sum of squared letter probabilities of running text.
 COINCIDENCE = 0.066
+#: Share of neighbouring characters of text and identifiers that differ in kind, by encoding; the others hold one kind.
+KIND_CHANGES = {"hex": 0.12, "hexupper": 0.12, "base32": 0.15, "base36": 0.2, "base36upper": 0.2, "base64": 0.42}
+#: Share of neighbouring letters of text of which one is a vowel and the other isn't; encodings without all letters.
+VOWEL_CHANGES, NARROW = 0.6, ("digits", "hex", "hexupper")
 RATE, UNIFORM = 0.001, 0.001
 #: Histogram cells: tenths of -log10(p), up to a last one.
 CELLS = 300
 
 
 def _tail(z: Column) -> Column:
-    """The normal distribution function at z, by its logistic approximation."""
-    return 1 / (1 + F.exp(F.greatest(F.lit(-600.0), F.least(F.lit(600.0), -1.5976 * z - 0.07056 * z * z * z))))
+    """The normal distribution function at z, by its logistic approximation; null at null."""
+    return F.when(z.isNotNull(), 1 / (1 + F.exp(F.greatest(F.lit(-600.0), F.least(F.lit(600.0), -1.5976 * z - 0.07056 * z * z * z)))))
+
+
+def _fisher(tails: list[Column]) -> Column:
+    """The joint tail of the tails that are not null (three at most, one at least), by the chi-squared tail of twice as many degrees."""
+    x = -reduce(lambda a, b: a + b, [F.when(t.isNull(), F.lit(0.0)).otherwise(F.log(F.greatest(F.lit(1e-30), t))) for t in tails])
+    n = reduce(lambda a, b: a + b, [t.isNotNull().cast("int") for t in tails])
+    return F.exp(-x) * (1 + F.when(n > 1, x).otherwise(F.lit(0.0)) + F.when(n > 2, x * x / 2).otherwise(F.lit(0.0)))
+
+
+def _changes(classes: Column, rate: Column) -> tuple[Column, Column]:
+    """How far the changes inside runs of a string of classes, dots apart, are above what the rate gives, in deviations; their number of pairs."""
+    apart = F.length(F.replace(F.regexp_replace(classes, "[^.]+", "x"), F.lit("."), F.lit("")))
+    pairs = F.length(F.replace(classes, F.lit("."), F.lit(""))) - apart
+    changed = F.length(F.replace(F.regexp_replace(classes, "(.)\\1+", "$1"), F.lit("."), F.lit(""))) - apart
+    return changed - pairs * rate, F.when(pairs > 0, F.sqrt(pairs * rate * (1 - rate)))
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -103,7 +128,14 @@ def battery(strings: DataFrame) -> DataFrame:
     named = named.withColumn("bits", bits)
     share = F.col("k") * COINCIDENCE - 1
     apart = F.col("n") * F.greatest(share, F.lit(0.3))
-    text_like = _tail((F.col("chi") - (F.col("k") - 1 + apart)) / F.sqrt(2 * (F.col("k") - 1) + 4 * apart))
+    even = _tail((F.col("chi") - (F.col("k") - 1 + apart)) / F.sqrt(2 * (F.col("k") - 1) + 4 * apart))
+    kinds = F.translate("s", LOWER + UPPER + DIGIT + "+/", "a" * 26 + "A" * 26 + "0" * 10 + "++")
+    off, spread = _changes(kinds, _of(KIND_CHANGES))
+    mixed = _tail(-(off - 0.5) / spread)
+    sounds = F.translate(F.lower("s"), "".join(c for c in LOWER if c not in VOWELS) + VOWELS + DIGIT + "+/", "c" * 20 + "v" * 6 + "." * 12)
+    off, spread = _changes(sounds, F.lit(VOWEL_CHANGES))
+    spoken = F.when(~F.col("encoding").isin(*NARROW), _tail((off + 0.5) / spread))
+    text_like = _fisher([even, mixed, spoken])
     ones = F.length(F.replace(F.col("bits"), F.lit("0"), F.lit(""))).cast("double")
     zeros = F.col("n") - ones
     turns = 1 + (2 * F.col("n") - F.length(F.replace(F.col("bits"), F.lit("01"), F.lit(""))) - F.length(F.replace(F.col("bits"), F.lit("10"), F.lit("")))) / 2
