@@ -232,10 +232,9 @@ def test_order_minhash_of_a_longer_text(kmers):
 
 def plain_lines(text):
     out, start = [], 0
-    for i, c in enumerate(text):
-        if c not in " \n" or (c == " " and not (i and text[i - 1] in ".!?")):
-            continue
-        if any(i - k - 32 >= 0 and all(x in ".!?" for x in text[i - k : i]) and all(x not in ".!?\n" for x in text[i - k - 32 : i - k]) for k in range(4)):
+    ends = [c == "\n" or (c == " " and i > 0 and text[i - 1] in ".,!?;:\u2026") for i, c in enumerate(text)]
+    for i in range(line_dedup.LEAST, len(text)):
+        if ends[i] and not any(ends[i - line_dedup.LEAST : i]):
             out.append(text[start : i + 1])
             start = i + 1
     return [*out, text[start:]]
@@ -261,7 +260,7 @@ def plain_line_dedup(rows):
             if where != (key, a):
                 since = max(a, where[1] + b - a + 1) if where[0] == key else a
                 removed.setdefault(key, set()).update(range(since, b + 1))
-    return {k: ("".join(x for i, x in enumerate(own) if i not in removed.get(k, ())), len(own), len(removed.get(k, ()))) for k, own in lines.items()}
+    return {k: ("".join(x for i, x in enumerate(own) if i not in removed.get(k, ())), len(removed.get(k, ()))) for k, own in lines.items()}
 
 
 def test_line_dedup(spark):
@@ -271,6 +270,9 @@ def test_line_dedup(spark):
     rows = [(i, "\n".join(sentence(rng.randrange(1, 20)) for _ in range(8))) for i in range(40)]
     rows += [(100 + i, sentence(14) + " " + passage) for i in range(20)] + [(200 + i, passage + "\n" + sentence(12)) for i in range(5)]
     rows += [(300, (sentence(10) + " ") * 40), (301, rows[0][1]), (0, rows[0][1]), (302, None), (303, ""), (None, passage), (304, "x. " * 200), (305, "Wow!! No!! " * 60)]
+    verse = "\n".join(prose(rng, 3) for _ in range(40))
+    short = ". ".join(prose(rng, 2) for _ in range(40))
+    rows += [(400, prose(rng, 30) + "\n" + verse), (401, verse + "\n" + prose(rng, 9)), (402, short), (403, sentence(9) + " " + short), (404, "v1.2.3 costs 0.5 or 1.7; " * 30), (405, "a\nb\nc\n" * 90)]
     expected = plain_line_dedup(rows)
     got = line_dedup.line_dedup(table(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -279,9 +281,11 @@ def test_line_dedup(spark):
     for d, t in texts:
         by_id.setdefault(d, []).append(t)
     for r in got:
-        options = [expected[d is not None, d or 0, t] for d, t in texts if t and d == r.doc_id] or [(by_id[r.doc_id][0], 0, 0)]
-        assert (r.text, r.n_lines, r.n_removed) in options
+        options = [expected[d is not None, d or 0, t] for d, t in texts if t and d == r.doc_id] or [(by_id[r.doc_id][0], 0)]
+        assert (r.text, r.n_removed) in options
         assert r.n_chars == (None if r.text is None else len(r.text))
+    assert len(next(r.text for r in got if r.doc_id == 401)) < 60, "short lines make grams too"
+    assert len(next(r.text for r in got if r.doc_id == 403)) < 120, "so do short sentences"
     last_words = passage.split(". ")[-1]
     assert sum(last_words in (r.text or "") for r in got) == 1, "a passage stays in its first document alone"
     assert line_dedup.line_dedup(table(spark, [])).count() == 0
