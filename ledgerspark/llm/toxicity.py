@@ -6,9 +6,9 @@ repeat for one or two letters, a sign between letters for nothing, and in a run
 single characters a word may end behind each. Viterbi decoding under the character model
 gives the likeliest words. The restored text (its words and their beginnings) is scored by a logistic model.
 
-The model is fitted to a sample of at most SAMPLE labelled rows (those of the least hash), from which at most
-FEATURES features with the highest evidence for the label are kept; both are bounds of the fit alone. Counts of the character
-model and all scores cover all documents and whole texts.
+The model is fitted to a sample of at most SAMPLE labelled rows (those of the least hash), a bound of the fit alone; all
+their features that bear out label 1 beyond chance are kept. Counts of the character model and all scores cover
+all documents and whole texts. A lattice keeps two ways into a state and gives PATHS readings: all of them count.
 
 Defined results: null and empty texts are scored by the model's intercept; rows without a label are scored like
 others; repeated rows each; without training rows of both labels the score is the share of label 1 (0 without any); a
@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 
 from .common import materialize, read, small_batches
 
-#: Labelled rows and features that the fit looks at, at most; FOLDS-th part of the ids is held out.
-SAMPLE, FEATURES, FOLDS = 20_000, 20_000, 5
+#: Labelled rows that the fit looks at, at most; FOLDS-th part of the ids is held out.
+SAMPLE, FOLDS = 20_000, 5
 THRESHOLD = 0.5
 #: Features that stand in where the labelled texts are too few for any to be sure.
 FALLBACK = 50
@@ -260,8 +260,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return materialize(once, "training")
 
 
-def candidate_features(rows: DataFrame, model: CharacterModel, features: int = FEATURES) -> list[str]:
-    """The features with the most evidence for label 1, at most `features`."""
+def candidate_features(rows: DataFrame, model: CharacterModel) -> list[str]:
+    """The features of the sample with more evidence for label 1 than chance gives."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, held = Reader(model), (Counter(), Counter())
@@ -294,15 +294,15 @@ def candidate_features(rows: DataFrame, model: CharacterModel, features: int = F
     # what chance alone gives few of all features
     least = 1.5 * math.log(max(2, counted.count()))
     over = counted.where((F.col("feature") != "") & (F.col("toxic") > 0)).where(F.col("toxic") / seen > prior)
-    ranked = over.withColumn("evidence", evidence).orderBy(F.col("evidence").desc(), "feature").limit(features).select("feature", "evidence").collect()
-    strong = [r.feature for r in ranked if r.evidence > least]
+    ranked = over.select("feature", evidence.alias("evidence")).orderBy(F.col("evidence").desc(), "feature")
+    strong = [r.feature for r in ranked.where(F.col("evidence") > least).collect()]
     # few texts bear out nothing beyond chance; the best there is still tells more than the labels' share
-    return strong or [r.feature for r in ranked[:FALLBACK]]
+    return strong or [r.feature for r in ranked.limit(FALLBACK).collect()]
 
 
-def fit(rows: DataFrame, model: CharacterModel, sample: int = SAMPLE, features: int = FEATURES) -> tuple[dict[str, int], np.ndarray, float]:
+def fit(rows: DataFrame, model: CharacterModel, sample: int = SAMPLE) -> tuple[dict[str, int], np.ndarray, float]:
     """Features by name, their weights and the intercept."""
-    names = candidate_features(rows, model, features)
+    names = candidate_features(rows, model)
     known = {n: i for i, n in enumerate(names)}
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((model, known))
@@ -346,12 +346,12 @@ def logistic(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, n: int, penalt
     return weight, float(bias)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs with score, from 0 to 1, and predicted."""
     spark = docs.sparkSession
     small_batches(spark, 500)
     model = CharacterModel(trigram_counts(docs))
-    known, weights, bias = fit(training_rows(docs, labels, sample), model, sample, features)
+    known, weights, bias = fit(training_rows(docs, labels, sample), model, sample)
     used = [(name, i) for name, i in known.items() if abs(weights[i]) > 0.02]
     shared = spark.sparkContext.broadcast((model, {n: k for k, (n, _) in enumerate(used)}, weights[[i for _, i in used]] if used else np.zeros(0), bias))
 

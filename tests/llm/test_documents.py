@@ -429,3 +429,35 @@ def test_spaced_runs_and_long_tokens_give_their_words():
         assert f"w:{word}" in read(text), text
     long = "y o u i d i o t " * 40
     assert "w:idiot" in read(long)
+
+
+def test_decoding_against_all_readings():
+    """Viterbi's best word is the best of all readings of short lattices, spelt out one by one."""
+    counts = np.zeros(toxicity.SYMBOLS**3)
+    for word in ["stupid", "idiot", "moron", *WORDS] * 20:
+        s = toxicity.symbols(f"  {word} ")
+        np.add.at(counts, (s[:-2] * toxicity.SYMBOLS + s[1:-1]) * toxicity.SYMBOLS + s[2:], 1)
+    model = toxicity.CharacterModel(counts)
+
+    def chance(letters):
+        s = [0, 0, *(int(toxicity.symbols(c)[0]) for c in letters), 0]
+        return sum(model(a, b, c) for a, b, c in zip(s, s[1:], s[2:]))
+
+    for token in ("1d10t", "m0r0n", "stuuupid", "st*u*p1d", "w1nt3r", "m.o.r.0.n", "b2b", "h0u5e"):
+        readings = [("", 0.0)]
+        for place in toxicity.lattice(token):
+            readings = [(word + letters, score + channel) for word, score in readings for letters, channel in place]
+        best = max((score + chance(word), word) for word, score in readings if word)
+        assert toxicity.decode(token, model)[0] == best[1], token
+
+
+def test_logistic_against_gradient():
+    """At the fitted weights the penalised likelihood is flat."""
+    rng = np.random.default_rng(3)
+    x = rng.random((200, 5)) < 0.4
+    y = (rng.random(200) < 1 / (1 + np.exp(1 - 2 * x[:, 0] - x[:, 1]))).astype(float)
+    doc, feature = np.nonzero(x)
+    weight, bias = toxicity.logistic(doc, feature, y, 5, penalty=0.5, steps=4000)
+    error = 1 / (1 + np.exp(-(x @ weight + bias))) - y
+    assert np.abs(x.T @ error + 0.5 * weight).max() < 0.05
+    assert abs(error.sum()) < 0.05
