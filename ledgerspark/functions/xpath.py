@@ -1,7 +1,8 @@
 """Expressions of assertions and filters, compiled to columns.
 
 The supported part of XPath 2.0: literals, $variables, the context item, sequences, arithmetic, value and general
-comparisons, and, or, if, quantifiers over sequences, casts, and the functions of FUNCTIONS. What is not
+comparisons, and, or, if, for and quantifiers over one or more sequences, cast as, castable as, instance of, and
+the functions of FUNCTIONS. What is not
 supported raises Unsupported when the expression is compiled; nothing passes silently. Arithmetic and casts that
 fail at run time give null, which callers read as they must (a failed test, a kept fact).
 """
@@ -25,7 +26,7 @@ class Unsupported(ValueError):
 
 @dataclass
 class Value:
-    """A compiled expression: kind is number, string, boolean, date, any (a reported lexical value) or sequence."""
+    """A compiled expression: kind is number, string, boolean, date, dateTime, any (a reported lexical value) or sequence."""
 
     kind: str
     column: Column
@@ -47,6 +48,8 @@ class Value:
             return F.regexp_replace(plain, "\\.$", "")
         if self.kind == "sequence":
             return F.coalesce(F.get(self.array(), F.lit(0)), F.lit(""))
+        if self.kind == "dateTime":
+            return F.date_format(self.column, "yyyy-MM-dd'T'HH:mm:ss")
         return self.column.cast("string")
 
     def boolean(self) -> Column:
@@ -79,7 +82,7 @@ class Scope:
 
 TOKENS = re.compile(
     r"""\s*(?:(?P<number>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|\.\d+)|(?P<string>"(?:[^"]|"")*"|'(?:[^']|'')*')|\$(?P<variable>[\w.:-]+)
-    |(?P<name>[A-Za-z_][\w.-]*(?::[A-Za-z_][\w.-]*)?)|(?P<sign><=|>=|!=|<<|>>|\|\||[-+*/=<>(),.\[\]|]))""",
+    |(?P<name>[A-Za-z_][\w.-]*(?::[A-Za-z_][\w.-]*)?)|(?P<sign><=|>=|!=|<<|>>|\|\||[-+*/=<>(),.\[\]|?]))""",
     re.X,
 )
 #: Binding strength of binary operators.
@@ -138,7 +141,17 @@ class Parser:
             return self.conditional()
         if kind == "name" and text in ("some", "every") and self.tokens[self.at + 1][0] == "variable":
             return self.quantified()
-        return self.primary()
+        if kind == "name" and text == "for" and self.tokens[self.at + 1][0] == "variable":
+            return self.each()
+        value = self.primary()
+        while self.peek() in (("name", "cast"), ("name", "castable"), ("name", "instance")):
+            which = self.next()[1]
+            self.next("of" if which == "instance" else "as")
+            name = self.next()[1]
+            if self.peek()[1] == "?":
+                self.next()
+            value = {"cast": lambda v, n: call(n, [v], self.scope), "castable": castable, "instance": instance_of}[which](value, name)
+        return value
 
     def conditional(self) -> Value:
         self.next()
@@ -155,22 +168,33 @@ class Parser:
             return Value("number", F.when(test, yes.number()).otherwise(no.number()))
         return Value("any", F.when(test, yes.text()).otherwise(no.text()))
 
-    def quantified(self) -> Value:
-        which, name = self.next()[1], self.next()[1]
+    def bound(self, over: Callable[[Column, Callable[[Column], Column]], Column], end: str, body: Callable[[], Column]) -> Column:
+        """body over all combinations of items of the sequences that follow; a sequence may refer to variables before it."""
+        name = self.next()[1]
         self.next("in")
         items = self.expression().array()
-        self.next("satisfies")
-        start = self.at
 
-        def test(x: Column) -> Column:
-            self.at = start
+        def inside(x: Column) -> Column:
             outer = self.scope
             self.scope = Scope({**outer.variables, name: Value("any", x)}, outer.item, outer.fact, outer.customs, outer.inside)
-            found = self.expression().boolean()
+            if self.peek()[1] == ",":
+                self.next()
+                found = self.bound(over, end, body)
+            else:
+                self.next(end)
+                found = body()
             self.scope = outer
             return found
 
-        return Value("boolean", F.exists(items, test) if which == "some" else F.forall(items, test))
+        return over(items, inside)
+
+    def quantified(self) -> Value:
+        over = F.exists if self.next()[1] == "some" else F.forall
+        return Value("boolean", self.bound(over, "satisfies", lambda: self.expression().boolean()))
+
+    def each(self) -> Value:
+        self.next()
+        return Value("sequence", self.bound(lambda items, f: F.flatten(F.transform(items, f)), "return", lambda: self.expression().array()))
 
     def primary(self) -> Value:
         kind, text = self.next()
@@ -215,6 +239,8 @@ def compared(sign: str, a: Value, b: Value) -> Column:
         return compare(sign, a.boolean(), b.boolean())
     if "number" in kinds:
         return compare(sign, a.number(), b.number())
+    if "dateTime" in kinds:
+        return compare(sign, a.column.cast("string").try_cast("timestamp_ntz"), b.column.cast("string").try_cast("timestamp_ntz"))
     if "date" in kinds:
         return compare(sign, a.column.cast("string").try_cast("date"), b.column.cast("string").try_cast("date"))
     if kinds == {"string"} or "string" in kinds:
@@ -223,6 +249,31 @@ def compared(sign: str, a: Value, b: Value) -> Column:
     return F.when(both, compare(sign, a.number(), b.number())).otherwise(compare(sign, a.text(), b.text()))
 
 
+#: Spark's types of atomic types.
+ATOMIC = {"xs:decimal": NUMBER, "xs:double": "double", "xs:float": "float", "xs:integer": NUMBER, "xs:int": "int", "xs:boolean": "boolean", "xs:date": "date", "xs:dateTime": "timestamp_ntz", "xs:string": "string"}
+
+
+def castable(value: Value, name: str) -> Value:
+    if name not in ATOMIC:
+        raise Unsupported(f"unknown type {name}")
+    text = F.trim(value.text())
+    fits = text.try_cast(ATOMIC[name]).isNotNull()
+    if name in ("xs:integer", "xs:int"):
+        fits = fits & F.regexp_like(text, F.lit("^[-+]?[0-9]+$"))
+    if name in ("xs:date", "xs:dateTime"):
+        fits = fits & F.regexp_like(text, F.lit("^-?[0-9]{4}-[0-9]{2}-[0-9]{2}" + ("T.*$" if name == "xs:dateTime" else "$")))
+    return Value("boolean", F.coalesce(fits, F.lit(False)))
+
+
+def instance_of(value: Value, name: str) -> Value:
+    """By the kind that the expression was compiled to; reported values count as what they can be read as."""
+    if name not in ATOMIC:
+        raise Unsupported(f"unknown type {name}")
+    if value.kind in ("any", "number"):
+        return castable(value, name) if name not in ("xs:string", "xs:boolean") or value.kind == "any" else Value("boolean", F.lit(False))
+    return Value("boolean", F.lit({"string": "xs:string", "boolean": "xs:boolean", "date": "xs:date", "dateTime": "xs:dateTime"}.get(value.kind) == name))
+
+
 def binary(sign: str, a: Value, b: Value) -> Value:
     if sign in ("and", "or"):
         return Value("boolean", a.boolean() & b.boolean() if sign == "and" else a.boolean() | b.boolean())
@@ -319,8 +370,10 @@ def _single(column: str) -> Callable:
 
 def _format_number(args: list[Value], scope: Scope) -> Value:
     x, picture = args[0].number(), args[1].text()
-    places = F.length(F.regexp_replace(F.regexp_extract(picture, "\\.(.*)$", 1), "[0#]", ""))
-    return Value("string", F.when(F.contains(picture, F.lit(",")), F.format_number(x, 2)).when(F.contains(picture, F.lit(".")), F.call_function("format_number", x, places)).otherwise(x.cast("bigint").cast("string")))
+    # places are what is left behind the last point without its closing signs, as in the behaviour to match
+    places = F.length(F.regexp_replace(F.regexp_extract(picture, "\\.([^.]*)$", 1), "[0#]+$", ""))
+    plain = F.replace(F.call_function("format_number", x, places), F.lit(","), F.lit(""))
+    return Value("string", F.when(F.contains(picture, F.lit(",")), F.format_number(x, 2)).when(F.contains(picture, F.lit(".")), plain).otherwise(x.cast("bigint").cast("string")))
 
 
 EMPTY = _fixed("sequence", lambda: F.array().cast("array<string>"))
@@ -370,6 +423,9 @@ FUNCTIONS: dict[str, Callable[[list[Value], Scope], Value]] = {
     "iaf:numeric-greater-equal-than": lambda a, s: Value("boolean", a[0].number() >= a[1].number() - (a[2].number() if len(a) > 2 else F.lit(0).cast(NUMBER))),
     "efn:imp": lambda a, s: Value("boolean", ~a[0].boolean() | a[1].boolean()), "efn:iff": lambda a, s: Value("boolean", a[0].boolean().eqNullSafe(a[1].boolean())),
 }
+FUNCTIONS["xs:dateTime"] = lambda a, s: Value("dateTime", a[0].text().try_cast("timestamp_ntz"))
+for _part in ("year", "month", "day", "hours", "minutes", "seconds"):
+    FUNCTIONS[f"{_part}-from-dateTime"] = lambda a, s, f=getattr(F, _part.removesuffix("s")): Value("number", f(a[0].column.cast("timestamp_ntz")).cast(NUMBER))
 FUNCTIONS["substring-before"] = _string(lambda x, y: F.when(F.contains(x, y), F.call_function("left", x, F.call_function("instr", x, y) - 1)).otherwise(F.lit("")))
 FUNCTIONS["substring-after"] = _string(lambda x, y: F.when(F.contains(x, y), F.call_function("substring", x, F.call_function("instr", x, y) + F.length(y))).otherwise(F.lit("")))
 for _names, _call in (
@@ -420,7 +476,7 @@ def compile_filter(text: str, column: str = "value") -> Column:
 def called_functions(text: str) -> set[str]:
     """Names that an expression calls."""
     found = tokens(text)
-    return {a[1] for a, b in zip(found, found[1:]) if a[0] == "name" and b[1] == "(" and a[1] != "if"}
+    return {a[1] for a, b in zip(found, found[1:]) if a[0] == "name" and b[1] == "(" and a[1] not in ("if", "in", "return", "then", "else", "satisfies", "and", "or")}
 
 
 def needed_functions(text: str, bodies: Mapping[str, str]) -> set[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import reporting, validation
+from . import expressions, reporting, validation
 
-QUERIES: dict = validation.QUERIES | reporting.QUERIES
-ORACLE_SQL: dict = validation.ORACLE_SQL | reporting.ORACLE_SQL
+QUERIES: dict = validation.QUERIES | reporting.QUERIES | expressions.QUERIES
+ORACLE_SQL: dict = validation.ORACLE_SQL | reporting.ORACLE_SQL | expressions.ORACLE_SQL
