@@ -11,9 +11,15 @@ KEY = ["instance_id", "concept", "context_id"]
 
 
 def add_facts(facts: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts with the new ones, the new ones that were refused since their concept and context are taken)."""
-    refused = new.join(facts.select(*KEY), KEY, "left_semi")
-    accepted = new.join(facts.select(*KEY), KEY, "left_anti")
+    """(facts with the new ones, the new ones that were refused since their concept and context are taken).
+
+    Of new facts with one concept and context the first is accepted, by fact_ord and value, and the others are refused.
+    """
+    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("fact_ord", "value"))
+    taken = facts.select(*KEY).distinct().withColumn("_taken", F.lit(True))
+    tried = new.withColumn("_nth", nth).join(taken, KEY, "left")
+    free = F.col("_taken").isNull() & (F.col("_nth") == 1)
+    accepted, refused = tried.where(free).select(*new.columns), tried.where(~free).select(*new.columns)
     last = facts.groupBy("instance_id").agg(F.max("fact_ord").alias("last"))
     placed = accepted.join(last, "instance_id", "left").withColumn("fact_ord", F.coalesce("last", F.lit(-1)) + F.row_number().over(Window.partitionBy("instance_id").orderBy("concept", "context_id")))
     return facts.unionByName(placed.drop("last").select(*facts.columns)), refused
@@ -45,7 +51,16 @@ def reassign_contexts(facts: DataFrame, moves: DataFrame) -> tuple[DataFrame, Da
 def set_indicators(indicators: DataFrame, edits: DataFrame) -> DataFrame:
     """Filing indicators with edits put in or changed."""
     new = edits.select("instance_id", "template", F.col("filed").alias("_new"))
-    return indicators.join(new, ["instance_id", "template"], "full").select("instance_id", "template", F.coalesce("_new", "filed").alias("filed"))
+    kept = [c for c in indicators.columns if c not in ("instance_id", "template", "filed")]
+    return indicators.join(new, ["instance_id", "template"], "full").select("instance_id", "template", F.coalesce("_new", "filed").alias("filed"), *kept)
+
+
+def merged_calculations(arcs: DataFrame, own: DataFrame) -> DataFrame:
+    """The taxonomy's calculation arcs and those of linkbases that filings name themselves, network by network.
+
+    arcs and own: the columns of Taxonomy.calculation_arcs(); own arcs follow, and an arc that both have is one arc.
+    """
+    return arcs.unionByName(own.select(*arcs.columns)).dropDuplicates()
 
 
 def ensure_contexts(contexts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -53,12 +68,17 @@ def ensure_contexts(contexts: DataFrame, wanted: DataFrame) -> DataFrame:
     period = period_key(F.col("period_type"), F.col("instant"), F.col("start"), F.col("end"))
     keyed = wanted.withColumn("s_equal_key", s_equal_key(F.col("entity_scheme"), F.col("entity_id"), period, F.col("dims"), F.col("typed"), F.col("containers")))
     new = keyed.withColumn("context_id", context_id(F.col("s_equal_key"))).dropDuplicates(["instance_id", "context_id"])
+    if "typed_elements" in contexts.columns and "typed_elements" not in new.columns:
+        new = new.withColumn("typed_elements", F.create_map().cast("map<string,string>"))
     return contexts.unionByName(new.join(contexts.select("instance_id", "s_equal_key"), ["instance_id", "s_equal_key"], "left_anti").select(*contexts.columns))
 
 
 def upsert_cells(facts: DataFrame, edits: DataFrame) -> DataFrame:
     """facts after cell edits (instance_id, concept, context_id, unit_id, decimals, value): blank deletes, else
-    the value is changed or a fact put in."""
+    the value is changed or a fact put in. Of edits of one cell the one of the greatest edit_ord counts, where
+    they have that column, else of the greatest value."""
+    last = [F.col(c).desc() for c in ("edit_ord", "value") if c in edits.columns]
+    edits = edits.withColumn("_nth", F.row_number().over(Window.partitionBy(*KEY).orderBy(*last))).where("_nth = 1").drop("_nth")
     keyed = edits.select(*KEY, F.trim("value").alias("_value"), F.col("unit_id").alias("_unit"), F.col("decimals").alias("_decimals"), F.lit(True).alias("_edit"))
     old = facts.join(keyed, KEY, "left")
     kept = old.where("_edit IS NULL OR _value <> ''").withColumn("value", F.when(F.col("_edit"), F.col("_value")).otherwise(F.col("value"))).select(*facts.columns)
@@ -95,5 +115,5 @@ def new_filings(instances: DataFrame, templates: DataFrame, contexts: DataFrame)
     """(contexts, units, indicators) of filings to be: instances (instance_id, entity_scheme, entity_id, period_type,
     instant, start, end), the templates each files (instance_id, template), on top of existing contexts."""
     empty = F.create_map().cast("map<string,string>")
-    wanted = instances.withColumns({"dims": empty, "typed": empty, "containers": empty}).select(*(c for c in contexts.columns if c not in ("context_id", "s_equal_key")))
+    wanted = instances.withColumns({"dims": empty, "typed": empty, "containers": empty}).select(*(c for c in contexts.columns if c not in ("context_id", "s_equal_key", "typed_elements")))
     return ensure_contexts(contexts, wanted), default_units(instances), templates.select("instance_id", "template", F.lit(True).alias("filed"))

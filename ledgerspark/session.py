@@ -33,11 +33,11 @@ def work_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the shared work folder and read back: its lineage ends here."""
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """df written once to the shared work folder, a folder for each value of a column if asked, and read back: its lineage ends here."""
     path = f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def local_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:

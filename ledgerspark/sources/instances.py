@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import period_key
+from ..operators.dml import preferred_indicators
 from ..schemas import XBRLI
 from .xml import XLINK, Node, relation, shred
 
 LINK = "http://www.xbrl.org/2003/linkbase"
+#: Fixed value: namespace of the regulator's preamble.
+PREAMBLE = "http://www.bde.es/es/fr/esrs/comun/2008-06-01/preambulo"
+TRUE = ("true", "1", "yes")
 XSI_NIL = "{http://www.w3.org/2001/XMLSchema-instance}nil"
 
 
@@ -44,7 +48,7 @@ def _context(node: Node) -> tuple[dict, list[dict], list[dict]]:
     entity, period, scenario = node.find("entity"), node.find("period"), node.find("scenario")
     identifier = entity.find("identifier") if entity else None
     segment = (entity.find("segment") if entity else None) or node.find("segment")
-    dims, typed, containers, members, elements, others = {}, {}, {}, [], [], []
+    dims, typed, typed_elements, containers, members, elements, others = {}, {}, {}, {}, [], [], []
     for container, part in (("segment", segment), ("scenario", scenario)):
         for child in part or ():
             dim = child.name(child.get("dimension")) if child.local in ("explicitMember", "typedMember") else None
@@ -58,12 +62,14 @@ def _context(node: Node) -> tuple[dict, list[dict], list[dict]]:
                 dims[dim] = child.name(child.text)
             else:
                 typed[dim] = child.all_text()
+                if child.children:
+                    typed_elements[dim] = child.children[0].tag
     at = lambda name: part.text[:10] if period is not None and (part := period.find(name)) is not None else None
     instant, start, end = at("instant"), at("startDate"), at("endDate")
     row = {
         "context_id": node.get("id"), "entity_scheme": identifier.get("scheme") if identifier else None, "entity_id": identifier.text if identifier else None,
         "period_type": "instant" if instant else "duration" if start or end else None, "instant": instant, "start": start, "end": end,
-        "dims": dims, "typed": typed, "containers": containers, "other": "|".join(sorted(others)),
+        "dims": dims, "typed": typed, "typed_elements": typed_elements, "containers": containers, "other": "|".join(sorted(others)),
     }
     return row, members, elements
 
@@ -77,7 +83,7 @@ def _unit(node: Node) -> dict:
 
 
 def shred_instance(root: Node, path: str) -> Iterator[tuple[str, dict]]:
-    order = 0
+    order, preamble_context = 0, None
     for node in root:
         if node.tag == f"{{{XBRLI}}}context":
             row, members, elements = _context(node)
@@ -94,13 +100,25 @@ def shred_instance(root: Node, path: str) -> Iterator[tuple[str, dict]]:
         elif node.local in ("fIndicators", "filingIndicators"):
             for child in node:
                 filed = next((v for k, v in child.element.attrib.items() if k.rpartition("}")[2] == "filed"), "true")
-                yield "indicator", {"template": child.text, "filed": filed.strip() not in ("false", "0")}
+                if child.text:
+                    yield "indicator", {"template": child.text, "filed": filed.strip().lower() in TRUE, "context_id": child.get("contextRef")}
+        elif node.tag.startswith(f"{{{PREAMBLE}}}"):
+            if node.local in ("EntidadPresentadora", "TipoEnvio"):
+                yield "preamble", {"name": node.local, "value": node.text, "context_id": node.get("contextRef")}
+                preamble_context = preamble_context or node.get("contextRef")
+            for child in node:
+                if child.local == "CodigoEstado" and child.text:
+                    blank = child.get(f"{{{PREAMBLE}}}blanco", "false").strip().lower() in TRUE
+                    yield "report", {"template": child.text, "filed": not blank, "context_id": child.get("contextRef") or preamble_context}
+        elif node.tag == f"{{{LINK}}}linkbaseRef":
+            yield "linkbase_ref", {"href": node.get(f"{XLINK}href"), "role": node.get(f"{XLINK}role")}
         elif node.get("contextRef"):
             nil = node.get(XSI_NIL, "false").strip() in ("true", "1")
             yield "fact", {
                 "fact_ord": order, "concept": node.tag, "context_id": node.get("contextRef"), "unit_id": node.get("unitRef"), "value": None if nil else node.all_text(),
-                "decimals": node.get("decimals"), "precision": node.get("precision"), "is_nil": nil, "id": node.get("id"), "xml": node.source(),
+                "decimals": node.get("decimals"), "precision": node.get("precision"), "is_nil": nil, "id": node.get("id"),
             }
+            yield "source", {"fact_ord": order, "xml": node.source()}
             order += 1
 
 
@@ -110,13 +128,14 @@ class Filings:
     def __init__(self, spark: SparkSession, paths: str | list[str], pattern: str | None = None):
         from ..session import materialize
 
-        self.rows = materialize(shred(spark, paths, shred_instance, pattern), "filings")
+        # by kind, so that a relation reads its own rows alone
+        self.rows = materialize(shred(spark, paths, shred_instance, pattern), "filings", by="kind")
 
     def _relation(self, kind: str, schema: str) -> DataFrame:
         return relation(self.rows, kind, schema).withColumnRenamed("path", "instance_id")
 
     def contexts(self) -> DataFrame:
-        found = self._relation("context", "context_id string, entity_scheme string, entity_id string, period_type string, instant date, start date, `end` date, dims map<string,string>, typed map<string,string>, containers map<string,string>, other string")
+        found = self._relation("context", "context_id string, entity_scheme string, entity_id string, period_type string, instant date, start date, `end` date, dims map<string,string>, typed map<string,string>, typed_elements map<string,string>, containers map<string,string>, other string")
         from ..functions.keys import s_equal_key
 
         period = period_key(F.col("period_type"), F.col("instant"), F.col("start"), F.col("end"))
@@ -127,12 +146,13 @@ class Filings:
         return self._relation("unit", "unit_id string, form string, numerator array<string>, denominator array<string>")
 
     def facts(self) -> DataFrame:
-        return self._relation("fact", "fact_ord bigint, concept string, context_id string, unit_id string, value string, decimals string, precision string, is_nil boolean, id string, xml string")
+        return self._relation("fact", "fact_ord bigint, concept string, context_id string, unit_id string, value string, decimals string, precision string, is_nil boolean, id string")
 
     def reported(self, concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(facts of known concepts, orphans, which keep their source)."""
         known = concepts.select("concept")
-        return self.facts().join(known, "concept", "left_semi").drop("xml"), self.facts().join(known, "concept", "left_anti")
+        sources = self._relation("source", "fact_ord bigint, xml string")
+        return self.facts().join(known, "concept", "left_semi"), self.facts().join(known, "concept", "left_anti").join(sources, ["instance_id", "fact_ord"])
 
     def members(self) -> DataFrame:
         return self._relation("member", "context_id string, dim string, container string, typed boolean")
@@ -141,7 +161,17 @@ class Filings:
         return self._relation("element", "context_id string, element string, container string")
 
     def indicators(self) -> DataFrame:
-        return self._relation("indicator", "template string, filed boolean")
+        """Filing indicators: those of a filing's preamble, else its indicator elements."""
+        shape = "template string, filed boolean, context_id string"
+        return preferred_indicators(self._relation("report", shape), self._relation("indicator", shape))
+
+    def preamble(self) -> DataFrame:
+        """(instance_id, name, value, context_id) of the preamble's single elements."""
+        return self._relation("preamble", "name string, value string, context_id string")
+
+    def linkbase_refs(self) -> DataFrame:
+        """Linkbases that a filing names itself; see operators.dml.merged_calculations."""
+        return self._relation("linkbase_ref", "href string, role string")
 
     def instances(self) -> DataFrame:
         refs = self._relation("schema_ref", "href string").groupBy("instance_id").agg(F.first("href").alias("schema_ref"))

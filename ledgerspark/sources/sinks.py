@@ -31,13 +31,24 @@ def _named(name: Column, table: Column) -> Column:
     return F.concat(F.element_at(table, namespace(name)), F.lit(":"), local_name(name))
 
 
-def documents(instances: DataFrame, contexts: DataFrame, units: DataFrame, facts: DataFrame, indicators: DataFrame, orphans: DataFrame | None = None) -> DataFrame:
+def _with_context(indicators: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Indicators with a context of their filing: their own, else its first."""
+    first = contexts.groupBy("instance_id").agg(F.min("context_id").alias("_first"))
+    own = F.col("context_id") if "context_id" in indicators.columns else F.lit(None).cast("string")
+    return indicators.join(first, "instance_id", "left").withColumn("context_id", F.coalesce(own, "_first", F.lit(""))).drop("_first")
+
+
+def documents(instances: DataFrame, contexts: DataFrame, units: DataFrame, facts: DataFrame, indicators: DataFrame, orphans: DataFrame | None = None, preamble: DataFrame | None = None) -> DataFrame:
     """(instance_id, xml). Contexts and units stand by id, facts in their order, orphans as they were read.
 
-    A filing's parts meet in one row, so a filing must fit a task.
+    Typed members are written in their own element (typed_elements of contexts), else in one named like their dimension.
+    Filings with rows in preamble (instance_id, name, value, context_id) carry their indicators as codes of reports
+    in it instead of indicator elements. A filing's parts meet in one row, so a filing must fit a task.
     """
+    if "typed_elements" not in contexts.columns:
+        contexts = contexts.withColumn("typed_elements", F.create_map().cast("map<string,string>"))
     names = facts.select(F.col("concept").alias("name")).unionByName(units.select(F.explode(F.concat("numerator", "denominator")).alias("name")))
-    names = names.unionByName(contexts.select(F.explode(F.concat(F.map_keys("dims"), F.map_values("dims"), F.map_keys("typed"))).alias("name"))).distinct()
+    names = names.unionByName(contexts.select(F.explode(F.concat(F.map_keys("dims"), F.map_values("dims"), F.map_keys("typed"), F.coalesce(F.map_values("typed_elements"), F.array().cast("array<string>")))).alias("name"))).distinct()
     # a row for each namespace of the taxonomy, which becomes a literal
     known = [x for row in prefixes(names).collect() for x in (row.ns, row.prefix)]
     table = (F.create_map(*map(F.lit, known)) if known else F.create_map()).cast("map<string,string>")
@@ -45,8 +56,9 @@ def documents(instances: DataFrame, contexts: DataFrame, units: DataFrame, facts
 
     def members(container: str) -> Column:
         inside = lambda k: F.coalesce(F.element_at("containers", k), F.lit("scenario")) == container
+        element = lambda k: _named(F.coalesce(F.element_at("typed_elements", k), k), F.col("prefixes"))
         explicit = F.transform(F.array_sort(F.map_entries(F.map_filter("dims", lambda k, v: inside(k)))), lambda e: F.concat(F.lit('<xbrldi:explicitMember dimension="'), _named(e["key"], F.col("prefixes")), F.lit('">'), _named(e["value"], F.col("prefixes")), F.lit("</xbrldi:explicitMember>")))
-        typed = F.transform(F.array_sort(F.map_entries(F.map_filter("typed", lambda k, v: inside(k)))), lambda e: F.concat(F.lit('<xbrldi:typedMember dimension="'), _named(e["key"], F.col("prefixes")), F.lit('"><value>'), escaped(e["value"]), F.lit("</value></xbrldi:typedMember>")))
+        typed = F.transform(F.array_sort(F.map_entries(F.map_filter("typed", lambda k, v: inside(k)))), lambda e: F.concat(F.lit('<xbrldi:typedMember dimension="'), _named(e["key"], F.col("prefixes")), F.lit('"><'), element(e["key"]), F.lit(">"), escaped(e["value"]), F.lit("</"), element(e["key"]), F.lit("></xbrldi:typedMember>")))
         both = F.concat(explicit, typed)
         return F.when(F.size(both) > 0, F.concat(F.lit(f"<xbrli:{container}>"), F.array_join(both, ""), F.lit(f"</xbrli:{container}>"))).otherwise("")
 
@@ -70,9 +82,17 @@ def documents(instances: DataFrame, contexts: DataFrame, units: DataFrame, facts
         F.when(F.col("is_nil"), F.lit(' xsi:nil="true"/>')).otherwise(F.concat(F.lit(">"), escaped(F.coalesce("value", F.lit(""))), F.lit("</"), tag, F.lit(">"))),
     )
     gather = lambda rows, key, text: rows.withColumn("prefixes", table).groupBy("instance_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(key, text.alias("_xml")))), lambda s: s["_xml"]).alias("_parts"))
-    indicator = F.concat(F.lit('<find:filingIndicator contextRef="'), F.lit("c"), F.lit('" find:filed="'), F.col("filed").cast("string"), F.lit('">'), escaped(F.col("template")), F.lit("</find:filingIndicator>"))
+    indicators = _with_context(indicators, contexts)
+    reports = indicators.limit(0) if preamble is None else indicators.join(preamble.select("instance_id").distinct(), "instance_id", "left_semi")
+    if preamble is not None:
+        indicators = indicators.join(preamble.select("instance_id").distinct(), "instance_id", "left_anti")
+    report = F.concat(F.lit('<pblo:CodigoEstado contextRef="'), escaped(F.col("context_id")), F.when(F.col("filed"), '">').otherwise('" pblo:blanco="true">'), escaped(F.col("template")), F.lit("</pblo:CodigoEstado>"))
+    single = F.concat(F.lit("<pblo:"), F.col("name"), F.lit(' contextRef="'), escaped(F.coalesce("context_id", F.lit(""))), F.lit('">'), escaped(F.col("value")), F.lit("</pblo:"), F.col("name"), F.lit(">"))
+    indicator = F.concat(F.lit('<find:filingIndicator contextRef="'), escaped(F.col("context_id")), F.lit('" filed="'), F.col("filed").cast("string"), F.lit('">'), escaped(F.col("template")), F.lit("</find:filingIndicator>"))
     whole = instances.withColumn("prefixes", table)
     sections = [("contexts", gather(contexts, "context_id", context)), ("units", gather(units, "unit_id", unit)), ("indicators", gather(indicators, "template", indicator)), ("facts", gather(facts, "fact_ord", fact))]
+    if preamble is not None:
+        sections += [("singles", gather(preamble, "name", single)), ("reports", gather(reports, "template", report))]
     if orphans is not None:
         sections.append(("orphans", gather(orphans, "fact_ord", F.col("xml"))))
     for name, part in sections:
@@ -80,8 +100,11 @@ def documents(instances: DataFrame, contexts: DataFrame, units: DataFrame, facts
     declared = F.array_join(F.transform(F.array_sort(F.map_entries(F.map_concat(F.map_filter("prefixes", lambda k, v: ~k.isin(*PREFIXES)), F.create_map(*(F.lit(x) for pair in PREFIXES.items() for x in pair))))), lambda e: F.concat(F.lit("xmlns:"), e["value"], F.lit('="'), e["key"], F.lit('"'))), " ")
     none = F.array().cast("array<string>")
     filed = F.when(F.size(F.coalesce("indicators", none)) > 0, F.concat(F.lit("<find:fIndicators>"), F.array_join("indicators", ""), F.lit("</find:fIndicators>\n"))).otherwise("")
+    if preamble is not None:
+        codes = F.when(F.size(F.coalesce("reports", none)) > 0, F.concat(F.lit("<pblo:EstadosReportados>"), F.array_join("reports", ""), F.lit("</pblo:EstadosReportados>\n"))).otherwise("")
+        filed = F.concat(filed, F.array_join(F.coalesce("singles", none), ""), codes)
     body = F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<xbrli:xbrl '), declared, F.lit(' xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xmlns:find="http://www.eurofiling.info/xbrl/ext/filing-indicators">\n<link:schemaRef xlink:type="simple" xlink:href="'), escaped(F.coalesce("schema_ref", F.lit(""))), F.lit('"/>\n'),
+        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<xbrli:xbrl '), declared, F.lit(' xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xmlns:find="http://www.eurofiling.info/xbrl/ext/filing-indicators" xmlns:pblo="http://www.bde.es/es/fr/esrs/comun/2008-06-01/preambulo">\n<link:schemaRef xlink:type="simple" xlink:href="'), escaped(F.coalesce("schema_ref", F.lit(""))), F.lit('"/>\n'),
         lines(F.coalesce("contexts", none)), F.lit("\n"), lines(F.coalesce("units", none)), F.lit("\n"), filed, lines(F.coalesce("facts", none)), F.lit("\n"), lines(F.coalesce("orphans", none)) if orphans is not None else F.lit(""), F.lit("</xbrli:xbrl>\n"),
     )
     return whole.select("instance_id", body.alias("xml"))

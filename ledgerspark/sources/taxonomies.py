@@ -7,6 +7,7 @@ in the content, never from a file's name. Locators meet concepts by file and id.
 from __future__ import annotations
 
 import posixpath
+from collections import OrderedDict
 from collections.abc import Iterator, Mapping
 from urllib.parse import unquote, urljoin
 
@@ -354,6 +355,34 @@ class Taxonomy:
         return found
 
 
+def companions(spark: SparkSession, entry: str) -> list[str]:
+    """Presentation files in a folder tab beside an entry point, or beside its folder if that is mod or tab."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(entry)
+    system, folder = path.getFileSystem(spark._jsc.hadoopConfiguration()), path.getParent()
+    roots = [folder.getParent(), folder] if folder.getName() in ("mod", "tab") else [folder]
+    found = []
+    for root in roots:
+        hits = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "tab/*pre*.xml"))
+        found += [resolve(hit.getPath().toString(), "", {})[0] for hit in hits or []]
+    return list(dict.fromkeys(found))
+
+
+class TaxonomyCache:
+    """The last taxonomies that were read, by entry points; the one unused for longest goes first."""
+
+    def __init__(self, capacity: int = 5):
+        self.capacity, self.held = capacity, OrderedDict()
+
+    def get(self, spark: SparkSession, entries: list[str], catalog: Mapping[str, str] | None = None) -> Taxonomy:
+        key = (tuple(entries), tuple(sorted((catalog or {}).items())))
+        if key not in self.held:
+            self.held[key] = Taxonomy(spark, entries, catalog)
+        self.held.move_to_end(key)
+        while len(self.held) > self.capacity:
+            self.held.popitem(last=False)
+        return self.held[key]
+
+
 def infer_catalog(entry: str, hosts: list[str]) -> dict[str, str]:
     """Prefixes of remote files that lie beside an entry point under a folder named cache, by host name."""
     root, found, _ = entry.partition("/cache/")

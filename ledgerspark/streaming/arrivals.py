@@ -6,7 +6,9 @@ findings over event time use windows with a watermark, so late filings within it
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +39,32 @@ def finding_rates(findings: DataFrame, at: str = "at", window: str = "10 minutes
     return findings.withWatermark(at, late).groupBy(F.window(at, window), "rule_id").agg(F.count("*").alias("findings"))
 
 
-def stop_all(spark: SparkSession) -> None:
-    """Cancels what runs: streams and jobs."""
+def stop_all(spark: SparkSession, tag: str | None = None) -> None:
+    """Stops the session's streams, and the jobs that run under a tag (see tagged)."""
     for query in spark.streams.active:
         query.stop()
-    spark.sparkContext.cancelAllJobs()
+    if tag is not None:
+        spark.sparkContext.cancelJobsWithTag(tag)
+
+
+@contextmanager
+def tagged(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs started inside carry the tag, so that they can be cancelled without any others."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def progress(query: StreamingQuery, seconds: float = 0.1) -> Iterator[dict]:
+    """A stream's batches as they finish: number, rows, rows a second; at most one report in so many seconds, and the last."""
+    shown = -1
+    while True:
+        active, last = query.isActive, query.lastProgress
+        if last is not None and last["batchId"] > shown:
+            shown = last["batchId"]
+            yield {"batch": shown, "rows": last["numInputRows"], "rows_per_second": last["processedRowsPerSecond"]}
+        if not active:
+            return
+        time.sleep(seconds)

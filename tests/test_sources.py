@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.sources.instances import Filings
 from ledgerspark.sources.sinks import documents, prefixes
-from ledgerspark.sources.taxonomies import Taxonomy, resolve
+from ledgerspark.sources.taxonomies import Taxonomy, TaxonomyCache, companions, resolve
 from ledgerspark.sources.xml import parse
 
 NS = 'xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns:link="http://www.xbrl.org/2003/linkbase" xmlns:xlink="http://www.w3.org/1999/xlink" xmlns:xbrldi="http://xbrl.org/2006/xbrldi" xmlns:iso4217="http://www.xbrl.org/2003/iso4217" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'
@@ -93,6 +93,63 @@ def test_round_trip(spark, filings, tmp_path):
     assert drop(again.contexts()) == drop(filings.contexts())
 
 
+PREAMBLE = "http://www.bde.es/es/fr/esrs/comun/2008-06-01/preambulo"
+FILED = INSTANCE.replace("</xbrli:xbrl>", """<f:fIndicators xmlns:f="http://www.eurofiling.info/xbrl/ext/filing-indicators"><f:filingIndicator contextRef="c2"> T1 </f:filingIndicator>
+<f:filingIndicator contextRef="c1" filed="no">T2</f:filingIndicator><f:filingIndicator contextRef="c1" f:filed="1">T3</f:filingIndicator><f:filingIndicator contextRef="c1"/></f:fIndicators></xbrli:xbrl>""")
+REPORTED = FILED.replace("</xbrli:xbrl>", f"""<p:EntidadPresentadora xmlns:p="{PREAMBLE}" contextRef="c2">0049</p:EntidadPresentadora><p:TipoEnvio xmlns:p="{PREAMBLE}" contextRef="c2">Ordinario</p:TipoEnvio>
+<p:EstadosReportados xmlns:p="{PREAMBLE}"><p:CodigoEstado>4001</p:CodigoEstado><p:CodigoEstado contextRef="c1" p:blanco="true">4002</p:CodigoEstado></p:EstadosReportados></xbrli:xbrl>""")
+
+
+def test_indicators_preamble_and_typed_elements_survive_the_sink(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xbrl").write_text(FILED)
+    (tmp_path / "in" / "b.xbrl").write_text(REPORTED)
+    read = Filings(spark, str(tmp_path / "in"))
+    name = F.regexp_extract("instance_id", "([a-z]).xbrl$", 1)
+    shown = lambda filings: sorted((r.n, r.template, r.filed, r.context_id) for r in filings.indicators().withColumn("n", name).collect())
+    assert shown(read) == [("a", "T1", True, "c2"), ("a", "T2", False, "c1"), ("a", "T3", True, "c1"), ("b", "4001", True, "c2"), ("b", "4002", False, "c1")]
+    assert read.facts().count() == 6, "elements of the preamble are no facts"
+    assert {r.typed_elements["{http://e.com/tax}Id"] for r in read.contexts().where("context_id = 'c1'").collect()} == {"{http://e.com/tax}v"}
+    out = documents(read.instances(), read.contexts(), read.units(), read.facts(), read.indicators(), preamble=read.preamble())
+    (tmp_path / "out").mkdir()
+    for r in out.withColumn("n", name).collect():
+        (tmp_path / "out" / f"{r.n}.xbrl").write_text(r.xml)
+    again = Filings(spark, str(tmp_path / "out"))
+    assert shown(again) == shown(read)
+    drop = lambda df: sorted(str(r) for r in df.withColumn("n", name).drop("instance_id", "id", "s_equal_key").collect())
+    assert drop(again.contexts()) == drop(read.contexts())
+    assert drop(again.preamble()) == drop(read.preamble())
+    assert drop(again.facts()) == drop(read.facts())
+
+
+def test_document_types_are_refused_wherever_they_stand():
+    for opening in (b"", b"<!-- " + b"x" * 200_000 + b" -->"):
+        with pytest.raises(ValueError):
+            parse(opening + b"<!DOCTYPE a [<!ENTITY x 'y'>]><a>&x;</a>")
+    with pytest.raises(ValueError):
+        parse("<!DOCTYPE a []><a/>".encode("utf-16"))
+    assert parse(b"<!-- <!DOCTYPE a> --><a>DOCTYPE</a>").text == "DOCTYPE"
+
+
+def test_companions_and_cache(spark, tmp_path):
+    (tmp_path / "mod").mkdir()
+    (tmp_path / "tab").mkdir()
+    (tmp_path / "mod" / "tax.xsd").write_text(SCHEMA)
+    (tmp_path / "mod" / "one.xml").write_text(LINKS)
+    (tmp_path / "tab" / "tax.xsd").write_text(SCHEMA)
+    (tmp_path / "tab" / "one.xml").write_text(LINKS)
+    (tmp_path / "tab" / "t-pre.xml").write_text(LINKS)
+    (tmp_path / "tab" / "t-lab.xml").write_text(LINKS)
+    entry = f"file://{tmp_path}/mod/tax.xsd"
+    assert companions(spark, entry) == [f"file://{tmp_path}/tab/t-pre.xml"]
+    cache = TaxonomyCache(2)
+    first = cache.get(spark, [entry])
+    assert cache.get(spark, [entry]) is first
+    cache.get(spark, [entry, f"file://{tmp_path}/tab/t-pre.xml"])
+    cache.get(spark, [f"file://{tmp_path}/mod/one.xml"])
+    assert cache.get(spark, [entry]) is not first
+
+
 def test_taxonomy_relations(taxonomy):
     concepts = {re.sub(".*}", "", c.concept): c for c in taxonomy.concepts().collect()}
     assert set(concepts) == {"Cash", "Bank", "Coin"}
