@@ -153,7 +153,7 @@ def label_prohibition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.active_labels(arcs.unionByName(banned), resources).select(F.col("from").alias("concept"), "text", "priority")
 
 
-@query("label_best_resources", "SELECT CAST(n_regionkey AS VARCHAR) AS assertion_id, n_name AS text, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey % 3 DESC, n_name) AS nth FROM nation n WHERE (n_nationkey % 2 = 0) = (EXISTS (SELECT 1 FROM nation m WHERE m.n_regionkey = n.n_regionkey AND m.n_nationkey % 2 = 0))")
+@query("label_best_resources", "SELECT CAST(n_regionkey AS VARCHAR) AS assertion_id, n_name AS text, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey % 3 DESC, n_name) AS INTEGER) AS nth FROM nation n WHERE (n_nationkey % 2 = 0) = (EXISTS (SELECT 1 FROM nation m WHERE m.n_regionkey = n.n_regionkey AND m.n_nationkey % 2 = 0))")
 def label_best_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = model.table(spark, sf_dir, "nation").select(model.text("n_regionkey").alias("assertion_id"), F.when(F.col("n_nationkey") % 2 == 0, "en").otherwise("xx").alias("lang"), F.col("n_name").alias("text"), (F.col("n_nationkey") % 3).alias("priority"))
     return labels.best_resources(rows).select("assertion_id", "text", "nth")
