@@ -34,7 +34,7 @@ DEGREE, BEAM, ALPHA, WIDTH = 36, 160, 1.2, 4
 K = 20
 #: Vectors added to a graph at once, at most.
 BATCH = 512
-#: Tasks that the pairs of shards and blocks are dealt out to, at most; a task takes its pairs one by one.
+#: Tasks that shards are dealt out to for the search, at most; a task takes its shards one by one.
 SEARCH_TASKS = 10_000
 
 
@@ -188,39 +188,59 @@ def _indexed(distinct: DataFrame, shards: int, **options) -> DataFrame:
     return dealt.groupBy("dim", "shard").applyInPandas(one, INDEX)
 
 
-def _search(pairs: DataFrame, k: int, beam: int) -> DataFrame:
-    """(key, vec_id, score): the k + 1 nearest ids of each query of a block in a shard."""
+def _lists(index, blocks, k: int, beam: int) -> pd.DataFrame:
+    """The k + 1 nearest ids in a shard for each query of a block."""
+    n = int(index.n)  # a float beside rows of blocks, which have none
+    vectors = np.frombuffer(index.vectors, np.float64).reshape(n, index.dim)
+    queries = np.array([np.asarray(q, np.float64) for q in blocks.queries])
+    counts = np.frombuffer(index.counts, np.int32)
+    ids, ends = np.frombuffer(index.ids, np.int64), np.cumsum(counts)
+    if n <= beam:
+        near = np.broadcast_to(np.arange(n), (len(queries), n))
+    else:
+        points = level(vectors)
+        graph = np.frombuffer(index.graph, np.int32).reshape(n, -1)
+        flat = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+        near = np.concatenate([beam_search(points, graph, np.array([int(index.entry)], np.int32), flat[at : at + 256], beam) for at in range(0, len(flat), 256)])
+    score = np.einsum("ncd,nd->nc", vectors[np.maximum(near, 0)], queries)
+    score[near < 0] = -np.inf
+    most = min(k + 1, near.shape[1])
+    top = np.argsort(-score, axis=1, kind="stable")[:, : most + 8]
+    keys, seconds, out, scores = [], [], [], []
+    for i, key in enumerate(blocks.keys):
+        listed = [(-score[i, j], v) for j in top[i].tolist() if near[i, j] >= 0 for v in ids[ends[near[i, j]] - counts[near[i, j]] : ends[near[i, j]]].tolist()]
+        listed.sort()
+        for s, v in listed[: k + 1]:
+            keys.append(key)
+            seconds.append(blocks.seconds[i])
+            out.append(v)
+            scores.append(-s)
+    return pd.DataFrame({"key": keys, "second": seconds, "vec_id": out, "score": scores}).astype({"key": "int64", "second": "int64", "vec_id": "int64", "score": "float64"})
+
+
+def _search(index: DataFrame, blocks: DataFrame, shards: int, copies: int, k: int, beam: int) -> DataFrame:
+    """(key, vec_id, score): the k + 1 nearest ids of each query of a block in a shard.
+
+    A shard's row crosses the network `copies` times, however many blocks there are; the blocks come sorted behind
+    it, and the task holds one shard and one block at a time.
+    """
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for batch in batches:
             for row in batch.itertuples(index=False):
-                vectors = np.frombuffer(row.vectors, np.float64).reshape(row.n, row.dim)
-                queries = np.frombuffer(row.queries, np.float64).reshape(-1, row.dim) if isinstance(row.queries, bytes) else np.array([np.asarray(q, np.float64) for q in row.queries])
-                counts = np.frombuffer(row.counts, np.int32)
-                ids, ends = np.frombuffer(row.ids, np.int64), np.cumsum(counts)
-                if row.n <= beam:
-                    near = np.broadcast_to(np.arange(row.n), (len(queries), row.n))
-                else:
-                    points = level(vectors)
-                    graph = np.frombuffer(row.graph, np.int32).reshape(row.n, -1)
-                    flat = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
-                    near = np.concatenate([beam_search(points, graph, np.array([row.entry], np.int32), flat[at : at + 256], beam) for at in range(0, len(flat), 256)])
-                score = np.einsum("ncd,nd->nc", vectors[np.maximum(near, 0)], queries)
-                score[near < 0] = -np.inf
-                most = min(k + 1, near.shape[1])
-                top = np.argsort(-score, axis=1, kind="stable")[:, : most + 8]
-                keys, seconds, out, scores = [], [], [], []
-                for i, key in enumerate(row.keys):
-                    listed = [(-score[i, j], v) for j in top[i].tolist() if near[i, j] >= 0 for v in ids[ends[near[i, j]] - counts[near[i, j]] : ends[near[i, j]]].tolist()]
-                    listed.sort()
-                    for s, v in listed[: k + 1]:
-                        keys.append(key)
-                        seconds.append(row.seconds[i])
-                        out.append(v)
-                        scores.append(-s)
-                yield pd.DataFrame({"key": keys, "second": seconds, "vec_id": out, "score": scores}).astype({"key": "int64", "second": "int64", "vec_id": "int64", "score": "float64"})
-
-    return pairs.mapInPandas(found, "key long, second long, vec_id long, score double")
+                if row.block < 0:
+                    held = row
+                elif held is not None and (held.dim, held.shard, held.copy) == (row.dim, row.shard, row.copy):
+                    yield _lists(held, row, k, beam)
+
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    placed = index.withColumn("copy", each(copies)).withColumn("block", F.lit(-1))
+    asked = blocks.withColumn("shard", each(shards)).withColumn("copy", F.pmod("block", F.lit(copies)))
+    rows = placed.unionByName(asked, allowMissingColumns=True)
+    # more partitions than shards, so that few of them hold two while others wait
+    dealt = rows.repartition(min(4 * shards * copies, SEARCH_TASKS), "dim", "shard", "copy").sortWithinPartitions("dim", "shard", "copy", "block")
+    return dealt.mapInPandas(found, "key long, second long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", shard: int = SHARD, block: int = BLOCK, beam: int = BEAM, degree: int = DEGREE, alpha: float = ALPHA) -> DataFrame:
@@ -236,10 +256,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "v
     wanted = keyed.groupBy("embedding").agg(F.first("key").alias("key"), F.first("second").alias("second"))
     wanted = materialize(wanted, "wanted")
     blocks = max(1, math.ceil(wanted.count() / block))
-    dealt = wanted.groupBy(F.size("embedding").alias("dim"), F.pmod("second", F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("key", "second", "embedding")).alias("q"))
-    dealt = dealt.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("q.key").alias("keys"), F.col("q.second").alias("seconds"), F.col("q.embedding").alias("queries"))
-    pairs = dealt.join(index, ["dim", "shard"])
-    found = _search(pairs.repartition(min(shards * blocks, SEARCH_TASKS), "dim", "shard", F.hash("keys")), k, beam)
+    dealt = wanted.groupBy(F.size("embedding").alias("dim"), F.pmod("second", F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("key", "second", "embedding")).alias("q"))
+    dealt = dealt.select("dim", "block", F.col("q.key").alias("keys"), F.col("q.second").alias("seconds"), F.col("q.embedding").alias("queries"))
+    # as many copies of a shard as give every core a task while there are few shards, one beyond that
+    copies = min(blocks, math.ceil(vectors.sparkSession.sparkContext.defaultParallelism / shards))
+    found = _search(index, dealt, shards, copies, k, beam)
     by_key = Window.partitionBy("key", "second").orderBy(F.col("score").desc(), "vec_id")
     best = found.withColumn("_nth", F.row_number().over(by_key)).where(F.col("_nth") <= k + 1).drop("_nth")
     by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
