@@ -3,20 +3,24 @@
 A binding takes one fact for each variable; a variable without a match takes none. By default all combinations
 within a filing are bound; with match_on, facts bind only where they agree on those columns (context_id, unit_id),
 which is an equi-join and the form to use on large filings. Existence never forms combinations.
+
+evaluate() plans one assertion; evaluate_all() matches the variables of many in one pass over the facts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.xpath import NUMBER, Scope, Unsupported, Value, compile_expression
+from ..session import local_table, materialize
 from .filters import VariableFilter, predicate
-from .findings import finding
+from .findings import finding, union
 
 #: Columns of a bound fact.
 FACT = ("fact_ord", "concept", "context_id", "unit_id", "value", "decimals", "precision", "period_type", "instant", "start", "end", "entity_id", "entity_scheme", "measure", "dims", "typed", "dims_key", "typed_key")
@@ -49,11 +53,12 @@ def bind(facts: DataFrame, assertion: Assertion, match_on: Sequence[str] = ()) -
     return base
 
 
-def _scope(assertion: Assertion, columns: Sequence[str]) -> tuple[Scope, Column]:
-    first = F.coalesce(*(F.col(f"v_{n}") for n in assertion.variables)) if assertion.variables else F.lit(None)
+def _scope(assertion: Assertion, columns: Sequence[str], at: Mapping[str, Column]) -> tuple[Scope, Column]:
+    """What an expression may refer to, given the column that holds each variable's fact, and the first bound fact."""
+    first = F.coalesce(*(at[n] for n in assertion.variables)) if assertion.variables else F.lit(None)
 
     def value(name: str, f: VariableFilter) -> Value:
-        here = F.col(f"v_{name}")
+        here = at[name]
         absent = F.lit(f.fallback if f.fallback is not None else "0")
         return Value("any", F.when(here.isNotNull(), here.getField("value")).otherwise(absent if f.fallback != "()" else F.lit(None).cast("string")), fact=here)
 
@@ -61,21 +66,41 @@ def _scope(assertion: Assertion, columns: Sequence[str]) -> tuple[Scope, Column]
     return Scope(variables, fact=lambda c: F.col(c) if c in columns else first.getField(c), customs=assertion.customs or {}), first
 
 
-def _about(first: Column) -> dict[str, Column]:
-    return {"concept": first.getField("concept"), "context_id": first.getField("context_id")}
+def _judged(assertion: Assertion, columns: Sequence[str], at: Mapping[str, Column]) -> dict[str, Column]:
+    """For a binding: whether it has a finding (keep), and the finding's status, message, concept and context."""
+    scope, first = _scope(assertion, columns, at)
+    about = {"concept": first.getField("concept"), "context_id": first.getField("context_id")} if assertion.variables else {c: F.lit(None).cast("string") for c in ("concept", "context_id")}
+    if assertion.kind == "value":
+        passed = F.coalesce(compile_expression(assertion.expression, scope).boolean(), F.lit(False))
+        absent = [at[n].isNull() for n, f in assertion.variables.items() if f.fallback is None]
+        none = reduce(lambda a, b: a & b, (at[n].isNull() for n in assertion.variables), F.lit(bool(assertion.variables)))
+        skipped = reduce(lambda a, b: a | b, absent, none)
+        return {"keep": F.lit(True), "status": F.when(skipped, "NOT_EVALUATED").when(passed, "PASS").otherwise("FAIL"), "message": F.lit(assertion.expression), **about}
+    if not assertion.variables:
+        raise Unsupported("a consistency assertion without variables has no fact to compare with")
+    computed, actual = compile_expression(assertion.expression, scope).number(), F.trim(first.getField("value")).try_cast(NUMBER)
+    apart = F.abs(computed - actual)
+    if assertion.absolute_radius is not None:
+        close = apart <= F.lit(assertion.absolute_radius).cast(NUMBER)
+    elif assertion.relative_radius is not None:
+        close = F.when(actual != 0, apart <= (F.lit(assertion.relative_radius).cast(NUMBER) * F.abs(actual)).cast(NUMBER)).otherwise(apart == 0)
+    else:
+        close = apart == 0
+    text = F.concat(F.lit("computed "), computed.cast("string"), F.lit(", actual "), actual.cast("string"))
+    return {"keep": first.isNotNull() & computed.isNotNull() & actual.isNotNull(), "status": F.when(close, "PASS").otherwise("FAIL"), "message": text, **about}
+
+
+def _bound_findings(facts: DataFrame, assertion: Assertion, match_on: Sequence[str]) -> DataFrame:
+    bound = bind(facts, assertion, match_on)
+    judged = _judged(assertion, [c for c in bound.columns if not c.startswith("v_")], {n: F.col(f"v_{n}") for n in assertion.variables})
+    rows = bound.where(judged.pop("keep"))
+    return finding(rows, assertion.assertion_id, "formula", judged.pop("message"), assertion.severity, judged.pop("status"), **judged)
 
 
 def value_findings(facts: DataFrame, assertion: Assertion, match_on: Sequence[str] = ()) -> DataFrame:
     """PASS, FAIL (also where the test can't be evaluated) or NOT_EVALUATED (an operand is missing without a
     fallback, or all are) for each binding."""
-    bound = bind(facts, assertion, match_on)
-    scope, first = _scope(assertion, [c for c in bound.columns if not c.startswith("v_")])
-    passed = F.coalesce(compile_expression(assertion.expression, scope).boolean(), F.lit(False))
-    absent = [F.col(f"v_{n}").isNull() for n, f in assertion.variables.items() if f.fallback is None]
-    none = reduce(lambda a, b: a & b, (F.col(f"v_{n}").isNull() for n in assertion.variables), F.lit(bool(assertion.variables)))
-    skipped = reduce(lambda a, b: a | b, absent, none)
-    status = F.when(skipped, "NOT_EVALUATED").when(passed, "PASS").otherwise("FAIL")
-    return finding(bound, assertion.assertion_id, "formula", F.lit(assertion.expression), assertion.severity, status, **_about(first))
+    return _bound_findings(facts, assertion, match_on)
 
 
 def existence_findings(facts: DataFrame, assertion: Assertion) -> DataFrame:
@@ -88,19 +113,7 @@ def existence_findings(facts: DataFrame, assertion: Assertion) -> DataFrame:
 def consistency_findings(facts: DataFrame, assertion: Assertion, match_on: Sequence[str] = ()) -> DataFrame:
     """Compares the computed value with the first bound fact's, within the absolute radius, else the relative one,
     else exactly. Bindings without a fact or number are left out."""
-    bound = bind(facts, assertion, match_on)
-    scope, first = _scope(assertion, [c for c in bound.columns if not c.startswith("v_")])
-    computed, actual = compile_expression(assertion.expression, scope).number(), F.trim(first.getField("value")).try_cast(NUMBER)
-    apart = F.abs(F.col("computed") - F.col("actual"))
-    rows = bound.where(first.isNotNull()).withColumns({"computed": computed, "actual": actual}).where("computed IS NOT NULL AND actual IS NOT NULL")
-    if assertion.absolute_radius is not None:
-        close = apart <= F.lit(assertion.absolute_radius).cast(NUMBER)
-    elif assertion.relative_radius is not None:
-        close = F.when(F.col("actual") != 0, apart <= (F.lit(assertion.relative_radius).cast(NUMBER) * F.abs("actual")).cast(NUMBER)).otherwise(apart == 0)
-    else:
-        close = apart == 0
-    text = F.concat(F.lit("computed "), F.col("computed").cast("string"), F.lit(", actual "), F.col("actual").cast("string"))
-    return finding(rows, assertion.assertion_id, "formula", text, assertion.severity, F.when(close, "PASS").otherwise("FAIL"), **_about(first))
+    return _bound_findings(facts, assertion, match_on)
 
 
 def evaluate(facts: DataFrame, assertion: Assertion, match_on: Sequence[str] = ()) -> DataFrame:
@@ -113,6 +126,90 @@ def evaluate(facts: DataFrame, assertion: Assertion, match_on: Sequence[str] = (
         return finding(facts.select("instance_id").distinct(), f"internal:{assertion.assertion_id}", "formula", F.lit(str(error)))
 
 
+#: Assertions of one plan: what they bind lies in a folder of its own, and their expressions share a CASE.
+TOGETHER = 16
+
+
+def _matches(facts: DataFrame, assertions: Sequence[Assertion], keys: Sequence[str]) -> DataFrame:
+    """(rule, slot, part, keys, fact): facts that match a variable, for all variables of all assertions in one pass.
+
+    Facts find the variables that want their concept by a join with the list of variables; those of any concept
+    are tried on all. What else a filter asks is evaluated for these alone, once for filters that ask the same.
+    """
+    rest, wanted = {}, {}
+    for rule, assertion in enumerate(assertions):
+        for slot, f in enumerate(assertion.variables.values()):
+            other = replace(f, concept=None, fallback=None)
+            number, _ = rest.setdefault(repr(other), (len(rest), predicate(other)))
+            wanted.setdefault(f.concept, []).append((rule, slot, number))
+    shape = "array<struct<rule:int,slot:int,rest:int>>"
+    named = local_table(facts.sparkSession, [(c, [dict(zip(("rule", "slot", "rest"), w, strict=True)) for w in ws]) for c, ws in wanted.items() if c is not None], f"concept string, _wanted {shape}")
+    always = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(w, ("rule", "slot", "rest"), strict=True))) for w in wanted.get(None, ()))).cast(shape)
+    there = [c for c in FACT if c in facts.columns]
+    tried = facts.join(named, "concept", "left").withColumn("_w", F.explode(F.concat(F.coalesce("_wanted", F.array().cast(shape)), always)))
+    fits = reduce(lambda found, one: found.when(F.col("_w.rest") == one[0], one[1]), rest.values(), F.when(F.lit(False), F.lit(False)))
+    part = F.floor(F.col("_w.rule") / TOGETHER).cast("int").alias("part")
+    return tried.where(fits).select("_w.rule", "_w.slot", part, *keys, F.struct(*there).alias("fact"))
+
+
+def _bound_together(rows: DataFrame, instances: DataFrame, numbered: Mapping[int, Assertion], keys: Sequence[str]) -> DataFrame:
+    """Findings of a few assertions, given the matches of theirs."""
+    on = ["rule", *keys]
+    if len(keys) > 1:
+        base = rows.where(F.col("rule").isin(*numbered)).select(*on).distinct()
+    else:
+        base = instances.withColumn("rule", F.explode(F.array(*map(F.lit, numbered))))
+    slots = max(len(a.variables) for a in numbered.values())
+    for slot in range(slots):
+        held = rows.where(F.col("slot") == slot).select(*(F.col(k).alias(f"_{k}") for k in on), F.col("fact").alias(f"s{slot}"))
+        base = base.join(held, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in on], "left").drop(*(f"_{k}" for k in on))
+    judged = F.when(F.lit(False), None)
+    for rule, assertion in numbered.items():
+        one = _judged(assertion, keys, {n: F.col(f"s{i}") for i, n in enumerate(assertion.variables)})
+        one |= {"rule_id": F.lit(assertion.assertion_id), "severity": F.lit(assertion.severity)}
+        named = F.struct(*(c.cast("boolean" if n == "keep" else "string").alias(n) for n, c in one.items()))
+        judged = judged.when(F.col("rule") == rule, named)
+    found = base.select("instance_id", judged.alias("_j")).where("_j.keep").select("instance_id", "_j.*")
+    return finding(found, F.col("rule_id"), "formula", F.col("message"), F.col("severity"), F.col("status"))
+
+
+def evaluate_all(facts: DataFrame, assertions: Sequence[Assertion], match_on: Sequence[str] = ()) -> DataFrame:
+    """The findings that evaluate() gives for each assertion, from one pass over facts.
+
+    What variables match is written once, in a folder for each TOGETHER assertions, and bound from there; facts
+    that nothing asks for are read once and never shuffled. Plans grow with the number of assertions by
+    folder, not by assertion.
+    """
+    if not assertions:
+        return finding(facts.limit(0), "", "formula", F.lit(""))
+    sound, found = [], []
+    instances = materialize(facts.select("instance_id").distinct(), "instances")
+    for assertion in assertions:
+        try:
+            for f in assertion.variables.values():
+                predicate(f)
+            if assertion.kind != "existence":
+                _judged(assertion, (), {n: F.col(n) for n in assertion.variables})
+            sound.append(assertion)
+        except Unsupported as error:
+            found.append(finding(instances, f"internal:{assertion.assertion_id}", "formula", F.lit(str(error))))
+    keys = ["instance_id", *match_on]
+    matches = materialize(_matches(facts, sound, keys), "matches", by="part") if sound else None
+    for part in range(math.ceil(len(sound) / TOGETHER)):
+        numbered = {rule: sound[rule] for rule in range(part * TOGETHER, min(len(sound), (part + 1) * TOGETHER))}
+        rows = matches.where(F.col("part") == part)
+        existing = {rule: a for rule, a in numbered.items() if a.kind == "existence"}
+        if existing:
+            asked = local_table(facts.sparkSession, [(rule, a.assertion_id, a.severity) for rule, a in existing.items()], "rule int, rule_id string, severity string")
+            hits = rows.where(F.col("rule").isin(*existing)).select("rule", "instance_id").distinct().withColumn("hit", F.lit(True))
+            each = instances.withColumn("rule", F.explode(F.array(*map(F.lit, existing)))).join(hits, ["instance_id", "rule"], "left").join(asked, "rule")
+            found.append(finding(each, F.col("rule_id"), "formula", F.lit("existence"), F.col("severity"), F.when(F.col("hit"), "PASS").otherwise("FAIL")))
+        bound = {rule: a for rule, a in numbered.items() if rule not in existing}
+        if bound:
+            found.append(_bound_together(rows, instances, bound, keys))
+    return union(found)
+
+
 def enrich(facts: DataFrame, contexts: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """Facts with what filters and expressions refer to: their context's columns and their unit's measure."""
     from ..functions.keys import dims_key, period_key, typed_key

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +102,30 @@ def formula_cartesian_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("instance_id", "status").agg(F.count("*").alias("bindings"))
 
 
+def many_assertions(times: int) -> list[formula.Assertion]:
+    """times value, existence and consistency assertions each, with thresholds of their own."""
+    made = []
+    for i in range(times):
+        value = _assertion("value", f"$big lt {300000 + 7000 * i} and $any eq $big")
+        there = {"big": VariableFilter("OrderTotal", xpaths=[f". gt {200000 + 9000 * i}"])}
+        near = _assertion("consistency", "$any * 0.9", absolute_radius=str(20000 + 2000 * i))
+        made += [replace(value, assertion_id=f"v{i}"), formula.Assertion(f"e{i}", "existence", there, severity="warning"), replace(near, assertion_id=f"c{i}")]
+    return made
+
+
+@query(
+    "formula_many_assertions",
+    f"""WITH {BOUND}, n AS (SELECT range AS i FROM range(12)), found AS (
+SELECT 'v' || i AS rule_id, 'error' AS severity, CASE WHEN NOT any_ OR NOT big THEN 'NOT_EVALUATED' WHEN v < 300000 + 7000 * i THEN 'PASS' ELSE 'FAIL' END AS status FROM f, n WHERE any_ OR big
+UNION ALL SELECT 'e' || i, 'warning', CASE WHEN bool_or(v > 200000 + 9000 * i) THEN 'PASS' ELSE 'FAIL' END FROM f, n GROUP BY i, instance_id
+UNION ALL SELECT 'c' || i, 'error', CASE WHEN abs((CASE WHEN any_ THEN v ELSE 0 END) * 0.9 - v) <= 20000 + 2000 * i THEN 'PASS' ELSE 'FAIL' END FROM f, n WHERE any_ OR big)
+SELECT rule_id, severity, status, count(*) AS findings FROM found GROUP BY ALL""",
+)
+def formula_many_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = formula.evaluate_all(_facts(spark, sf_dir), many_assertions(12), ["context_id", "unit_id"])
+    return found.groupBy("rule_id", "severity", "status").agg(F.count("*").alias("findings"))
+
+
 def _expression(name: str, expression: str, kind: str, sql: str, variables: dict[str, str] | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         scope = Scope({v: Value("any", model.text(F.col(c).cast(model.MONEY))) for v, c in (variables or {}).items()})

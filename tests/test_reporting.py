@@ -5,6 +5,7 @@ from ledgerspark.functions import messages, scalars
 from ledgerspark.functions.xpath import Scope, Unsupported, Value, compile_expression, needed_functions
 from ledgerspark.operators import conformance, definition_checks, dml, filters, formula, labels, linkbase_checks, report, tables
 from ledgerspark.operators.filters import BooleanFilter, DimensionFilter, TypedFilter, VariableFilter
+from ledgerspark.operators.findings import union
 from ledgerspark.schemas import CONTEXT, FACT
 from ledgerspark.streaming import arrivals
 
@@ -81,6 +82,26 @@ def test_assertions(spark):
     assert statuses(keyed) == [("i", "PASS"), ("j", "NOT_EVALUATED")]
 
 
+def test_many_assertions_in_one_pass(spark):
+    facts = enriched(spark)
+    a, b, late = VariableFilter("A", "instant"), VariableFilter("B"), VariableFilter(xpaths=[". gt 8"])
+    some = [
+        ("value", {"a": a, "b": b}, "$a lt $b", {}), ("value", {"a": a, "b": VariableFilter("B", fallback="0")}, "$a lt $b", {}), ("existence", {"b": b}, "", {"severity": "warning"}), ("existence", {"b": VariableFilter("none")}, "", {}),
+        ("consistency", {"a": a}, "$a * 1.1", {"absolute_radius": "0.6"}), ("consistency", {"a": a, "x": late}, "$a + $x", {"relative_radius": "0.1"}), ("value", {"a": a, "b": b}, "a/b", {}), ("value", {}, "1 lt 2", {}), ("consistency", {}, "1", {}),
+        ("value", {"x": late}, "$x lt 9", {"severity": "warning"}),
+    ]
+    # more than one folder, with the same variables in several places
+    assertions = [formula.Assertion(f"r{i}", kind, variables, expression, **more) for i, (kind, variables, expression, more) in enumerate(some * 2)]
+    for match_on in ((), ("context_id", "unit_id")):
+        if match_on:
+            assertions = [x for x in assertions if x.variables]
+        whole = formula.evaluate_all(facts, assertions, match_on)
+        each = union([formula.evaluate(facts, x, match_on) for x in assertions])
+        assert sorted(map(str, whole.collect())) == sorted(map(str, each.collect()))
+    assert formula.evaluate_all(facts, []).count() == 0
+    assert formula.evaluate_all(facts, assertions[:1] + assertions[6:7]).where("rule_id LIKE 'internal%'").count() == 2
+
+
 def test_messages(spark):
     scope = Scope({"x": Value("any", F.lit("7"))})
     text = lambda c: spark.range(1).select(c.alias("x")).first().x
