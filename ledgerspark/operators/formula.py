@@ -9,7 +9,6 @@ evaluate() plans one assertion; evaluate_all() matches the variables of many in
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -126,87 +125,96 @@ def evaluate(facts: DataFrame, assertion: Assertion, match_on: Sequence[str] = (
         return finding(facts.select("instance_id").distinct(), f"internal:{assertion.assertion_id}", "formula", F.lit(str(error)))
 
 
-#: Assertions of one plan: what they bind lies in a folder of its own, and their expressions share a CASE.
+#: Assertions of one plan, whose expressions share a CASE, and filters whose matches share a folder.
 TOGETHER = 16
 
 
-def _matches(facts: DataFrame, assertions: Sequence[Assertion], keys: Sequence[str]) -> DataFrame:
-    """(rule, slot, part, keys, fact): facts that match a variable, for all variables of all assertions in one pass.
-
-    Facts find the variables that want their concept by a join with the list of variables; those of any concept
-    are tried on all. What else a filter asks is evaluated for these alone, once for filters that ask the same.
-    """
-    rest, wanted = {}, {}
-    for rule, assertion in enumerate(assertions):
-        for slot, f in enumerate(assertion.variables.values()):
-            other = replace(f, concept=None, fallback=None)
-            number, _ = rest.setdefault(repr(other), (len(rest), predicate(other)))
-            wanted.setdefault(f.concept, []).append((rule, slot, number))
-    shape = "array<struct<rule:int,slot:int,rest:int>>"
-    named = local_table(facts.sparkSession, [(c, [dict(zip(("rule", "slot", "rest"), w, strict=True)) for w in ws]) for c, ws in wanted.items() if c is not None], f"concept string, _wanted {shape}")
-    always = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(w, ("rule", "slot", "rest"), strict=True))) for w in wanted.get(None, ()))).cast(shape)
-    there = [c for c in FACT if c in facts.columns]
-    tried = facts.join(named, "concept", "left").withColumn("_w", F.explode(F.concat(F.coalesce("_wanted", F.array().cast(shape)), always)))
-    fits = reduce(lambda found, one: found.when(F.col("_w.rest") == one[0], one[1]), rest.values(), F.when(F.lit(False), F.lit(False)))
-    part = F.floor(F.col("_w.rule") / TOGETHER).cast("int").alias("part")
-    return tried.where(fits).select("_w.rule", "_w.slot", part, *keys, F.struct(*there).alias("fact"))
-
-
-def _bound_together(rows: DataFrame, instances: DataFrame, numbered: Mapping[int, Assertion], keys: Sequence[str]) -> DataFrame:
-    """Findings of a few assertions, given the matches of theirs."""
+class _Wanted:
+    """The different filters of many variables, and the different conditions besides the concept among them."""
+
+    def __init__(self):
+        self.filters, self.rests = {}, {}
+
+    def number(self, f: VariableFilter) -> int:
+        """The filter's number; Unsupported if it can't be compiled."""
+        f = replace(f, fallback=None)
+        if repr(f) not in self.filters:
+            other = replace(f, concept=None)
+            if repr(other) not in self.rests:
+                self.rests[repr(other)] = (len(self.rests), predicate(other))
+            self.filters[repr(f)] = (len(self.filters), self.rests[repr(other)][0], f.concept)
+        return self.filters[repr(f)][0]
+
+    def matches(self, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """(filter, part, keys, fact): the facts that pass each filter, for all filters in one pass.
+
+        Facts find the filters that want their concept by a join with the list of filters; those of any concept
+        are tried on all.
+        """
+        shape, wanted = "array<struct<filter:int,rest:int>>", {}
+        for number, rest, concept in self.filters.values():
+            wanted.setdefault(concept, []).append({"filter": number, "rest": rest})
+        always = F.array(*(F.struct(F.lit(w["filter"]).alias("filter"), F.lit(w["rest"]).alias("rest")) for w in wanted.pop(None, ()))).cast(shape)
+        named = local_table(facts.sparkSession, list(wanted.items()), f"concept string, _wanted {shape}")
+        tried = facts.join(named, "concept", "left").withColumn("_w", F.explode(F.concat(F.coalesce("_wanted", F.array().cast(shape)), always)))
+        fits = reduce(lambda found, one: found.when(F.col("_w.rest") == one[0], one[1]), self.rests.values(), F.when(F.lit(False), F.lit(False)))
+        there = [c for c in FACT if c in facts.columns]
+        return tried.where(fits).select("_w.filter", F.floor(F.col("_w.filter") / TOGETHER).cast("int").alias("part"), *keys, F.struct(*there).alias("fact"))
+
+
+def _bound_together(rows: DataFrame, instances: DataFrame, judged: Mapping[int, Column], slots: int, keys: Sequence[str]) -> DataFrame:
+    """Findings of a few assertions, given the matches (rule, slot, keys, fact) of theirs."""
     on = ["rule", *keys]
     if len(keys) > 1:
-        base = rows.where(F.col("rule").isin(*numbered)).select(*on).distinct()
+        base = rows.select(*on).distinct()
     else:
-        base = instances.withColumn("rule", F.explode(F.array(*map(F.lit, numbered))))
-    slots = max(len(a.variables) for a in numbered.values())
+        base = instances.withColumn("rule", F.explode(F.array(*map(F.lit, judged))))
     for slot in range(slots):
         held = rows.where(F.col("slot") == slot).select(*(F.col(k).alias(f"_{k}") for k in on), F.col("fact").alias(f"s{slot}"))
         base = base.join(held, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in on], "left").drop(*(f"_{k}" for k in on))
-    judged = F.when(F.lit(False), None)
-    for rule, assertion in numbered.items():
-        one = _judged(assertion, keys, {n: F.col(f"s{i}") for i, n in enumerate(assertion.variables)})
-        one |= {"rule_id": F.lit(assertion.assertion_id), "severity": F.lit(assertion.severity)}
-        named = F.struct(*(c.cast("boolean" if n == "keep" else "string").alias(n) for n, c in one.items()))
-        judged = judged.when(F.col("rule") == rule, named)
-    found = base.select("instance_id", judged.alias("_j")).where("_j.keep").select("instance_id", "_j.*")
+    one = reduce(lambda found, j: found.when(F.col("rule") == j[0], j[1]), judged.items(), F.when(F.lit(False), None))
+    found = base.select("instance_id", one.alias("_j")).where("_j.keep").select("instance_id", "_j.*")
     return finding(found, F.col("rule_id"), "formula", F.col("message"), F.col("severity"), F.col("status"))
 
 
 def evaluate_all(facts: DataFrame, assertions: Sequence[Assertion], match_on: Sequence[str] = ()) -> DataFrame:
-    """The findings that evaluate() gives for each assertion, from one pass over facts.
+    """The findings that evaluate() gives for each assertion, from one pass over facts (and one over their instance ids).
 
-    What variables match is written once, in a folder for each TOGETHER assertions, and bound from there; facts
-    that nothing asks for are read once and never shuffled. Plans grow with the number of assertions by
-    folder, not by assertion.
+    What filters match is written once, a row for each fact and filter, in a folder for each TOGETHER filters, and
+    bound from there; facts that nothing asks for are never shuffled. Plans grow by one for each TOGETHER assertions.
     """
     if not assertions:
         return finding(facts.limit(0), "", "formula", F.lit(""))
-    sound, found = [], []
+    spark, keys = facts.sparkSession, ["instance_id", *match_on]
     instances = materialize(facts.select("instance_id").distinct(), "instances")
+    wanted, sound, found = _Wanted(), [], []
     for assertion in assertions:
         try:
-            for f in assertion.variables.values():
-                predicate(f)
+            numbers = [wanted.number(f) for f in assertion.variables.values()]
+            judged = None
             if assertion.kind != "existence":
-                _judged(assertion, (), {n: F.col(n) for n in assertion.variables})
-            sound.append(assertion)
+                columns = _judged(assertion, keys, {n: F.col(f"s{i}") for i, n in enumerate(assertion.variables)})
+                columns |= {"rule_id": F.lit(assertion.assertion_id), "severity": F.lit(assertion.severity)}
+                judged = F.struct(*(c.cast("boolean" if n == "keep" else "string").alias(n) for n, c in columns.items()))
+            sound.append((assertion, numbers, judged))
         except Unsupported as error:
             found.append(finding(instances, f"internal:{assertion.assertion_id}", "formula", F.lit(str(error))))
-    keys = ["instance_id", *match_on]
-    matches = materialize(_matches(facts, sound, keys), "matches", by="part") if sound else None
-    for part in range(math.ceil(len(sound) / TOGETHER)):
-        numbered = {rule: sound[rule] for rule in range(part * TOGETHER, min(len(sound), (part + 1) * TOGETHER))}
-        rows = matches.where(F.col("part") == part)
-        existing = {rule: a for rule, a in numbered.items() if a.kind == "existence"}
+    matches = materialize(wanted.matches(facts, keys), "matches", by="part") if sound else None
+    for at in range(0, len(sound), TOGETHER):
+        here = dict(enumerate(sound[at : at + TOGETHER]))
+        uses = [(number, rule, slot) for rule, (_, numbers, _) in here.items() for slot, number in enumerate(numbers)]
+        parts = sorted({number // TOGETHER for number, _, _ in uses})
+        rows = matches.where(F.col("part").isin(*parts)).join(local_table(spark, uses, "filter int, rule int, slot int"), "filter")
+        existing = [(rule, a.assertion_id, a.severity) for rule, (a, _, judged) in here.items() if judged is None]
         if existing:
-            asked = local_table(facts.sparkSession, [(rule, a.assertion_id, a.severity) for rule, a in existing.items()], "rule int, rule_id string, severity string")
-            hits = rows.where(F.col("rule").isin(*existing)).select("rule", "instance_id").distinct().withColumn("hit", F.lit(True))
-            each = instances.withColumn("rule", F.explode(F.array(*map(F.lit, existing)))).join(hits, ["instance_id", "rule"], "left").join(asked, "rule")
+            asked = local_table(spark, existing, "rule int, rule_id string, severity string")
+            hits = rows.join(asked, "rule", "left_semi").select("rule", "instance_id").distinct().withColumn("hit", F.lit(True))
+            each = instances.withColumn("rule", F.explode(F.array(*(F.lit(e[0]) for e in existing)))).join(hits, ["instance_id", "rule"], "left").join(asked, "rule")
             found.append(finding(each, F.col("rule_id"), "formula", F.lit("existence"), F.col("severity"), F.when(F.col("hit"), "PASS").otherwise("FAIL")))
-        bound = {rule: a for rule, a in numbered.items() if rule not in existing}
+        bound = {rule: judged for rule, (_, _, judged) in here.items() if judged is not None}
         if bound:
-            found.append(_bound_together(rows, instances, bound, keys))
+            slots = max(len(numbers) for rule, (_, numbers, _) in here.items() if rule in bound)
+            found.append(_bound_together(rows.where(F.col("rule").isin(*bound)), instances, bound, slots, keys))
     return union(found)
 
 
