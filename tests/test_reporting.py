@@ -6,6 +6,7 @@ from ledgerspark.functions.xpath import Scope, Unsupported, Value, compile_expre
 from ledgerspark.operators import conformance, definition_checks, dml, filters, formula, labels, linkbase_checks, report, tables
 from ledgerspark.operators.filters import BooleanFilter, DimensionFilter, TypedFilter, VariableFilter
 from ledgerspark.operators.findings import union
+from ledgerspark.plans import reporting
 from ledgerspark.schemas import CONTEXT, FACT
 from ledgerspark.streaming import arrivals
 
@@ -102,6 +103,45 @@ def test_many_assertions_in_one_pass(spark):
     assert formula.evaluate_all(facts, assertions[:1] + assertions[6:7]).where("rule_id LIKE 'internal%'").count() == 2
 
 
+def test_many_assertions_ask_facts_for_columns(spark):
+    facts = enriched(spark)
+    a, b, c = VariableFilter("A", fallback="1"), VariableFilter("B"), VariableFilter(xpaths=[". gt 8"], fallback="()")
+    asking = ["xfi:u-equal($a, $b)", "xfi:identical-nodes($a, $c)", "xfi:decimals() eq 0", "xfi:context() eq 'c1'", "xfi:fact-explicit-dimension-value($a, 'D') eq 'ES'", "xfi:is-numeric($a)", "$a lt $b", "xfi:is-instant-period()"]
+    rules = [(v, e) for e in asking * 3 for v in ({"a": a, "b": b, "c": c}, {"b": b, "a": a, "c": c})]
+    assertions = [formula.Assertion(f"r{i}", "value", *r) for i, r in enumerate(rules)]
+    assertions += [formula.Assertion(f"n{i}", "existence", {"x": VariableFilter(xpaths=[f". gt {i}"]), "y": VariableFilter("B", unit=str(i))}) for i in range(20)]
+    for match_on in ((), ("context_id", "unit_id")):
+        whole, each = formula.evaluate_all(facts, assertions, match_on), union([formula.evaluate(facts, x, match_on) for x in assertions])
+        assert sorted(map(str, whole.collect())) == sorted(map(str, each.collect()))
+    only = formula.evaluate_all(facts, [formula.Assertion("t", "value", {}, "1 lt 2"), formula.Assertion("n", "existence", {})])
+    assert sorted((r.instance_id, r.rule_id, r.status) for r in only.collect()) == [("i", "n", "FAIL"), ("i", "t", "PASS"), ("j", "n", "FAIL"), ("j", "t", "PASS")]
+
+
+def test_assertions_on_the_same_filters_share_what_is_written_and_shuffled(spark, monkeypatch):
+    written, write = [], formula.materialize
+
+    def noted(df, tag, by=None):
+        written.append((tag, write(df, tag, by)))
+        return written[-1][1]
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        store = sc.statusStore().executorList(False)
+        return sum(store.apply(i).totalShuffleWrite() for i in range(store.size()))
+
+    monkeypatch.setattr(formula, "materialize", noted)
+    facts = write(reporting._facts(spark, "/root/testdata/sf0.001"), "facts")
+    cost = []
+    for times in (4, 12):
+        before = shuffled()
+        found = formula.evaluate_all(facts, reporting.many_assertions(times), ["context_id", "unit_id"])
+        assert found.groupBy("status").count().count() == 3
+        cost.append(shuffled() - before)
+    assert cost[1] < 1.5 * cost[0]
+    assert all(df.count() <= facts.count() for tag, df in written if tag == "matches")
+
+
 def test_messages(spark):
     scope = Scope({"x": Value("any", F.lit("7"))})
     text = lambda c: spark.range(1).select(c.alias("x")).first().x
