@@ -32,8 +32,12 @@ class Value:
     column: Column
     items: list[Value] | None = None
     fact: Column | None = None
+    #: a reported value's number where it has been read before
+    reported: Column | None = None
 
     def number(self) -> Column:
+        if self.reported is not None:
+            return self.reported
         if self.kind == "number":
             return self.column
         if self.kind == "boolean":

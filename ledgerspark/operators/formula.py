@@ -9,7 +9,7 @@ evaluate() plans one assertion; evaluate_all() matches the variables of many in
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -70,6 +70,14 @@ class _Slot:
         self.asked.add(column)
         return F.col(f"{self.name}_{column}")
 
+    def number(self) -> Column:
+        """The fact's value as a number, read once a binding rather than by each expression."""
+        return F.col(f"{self.name}_number")
+
+
+def _read(text: Column) -> Column:
+    return F.trim(text).try_cast(NUMBER)
+
 
 class _First:
     """The first bound fact of some."""
@@ -80,8 +88,14 @@ class _First:
     def isNotNull(self) -> Column:
         return reduce(lambda a, b: a | b, (f.isNotNull() for f in self.facts), F.lit(False))
 
+    def of(self, part: Callable[[Column | _Slot], Column]) -> Column:
+        return reduce(lambda found, f: found.when(f.isNotNull(), part(f)), self.facts[1:], F.when(self.facts[0].isNotNull(), part(self.facts[0]))) if self.facts else F.lit(None)
+
     def getField(self, column: str) -> Column:
-        return reduce(lambda found, f: found.when(f.isNotNull(), f.getField(column)), self.facts[1:], F.when(self.facts[0].isNotNull(), self.facts[0].getField(column))) if self.facts else F.lit(None)
+        return self.of(lambda f: f.getField(column))
+
+    def number(self) -> Column:
+        return self.of(lambda f: f.number() if isinstance(f, _Slot) else _read(f.getField("value")))
 
 
 def _scope(assertion: Assertion, columns: Sequence[str], at: Mapping[str, Column | _Slot]) -> tuple[Scope, _First]:
@@ -90,8 +104,9 @@ def _scope(assertion: Assertion, columns: Sequence[str], at: Mapping[str, Column
 
     def value(name: str, f: VariableFilter) -> Value:
         here = at[name]
-        absent = F.lit(f.fallback if f.fallback is not None else "0")
-        return Value("any", F.when(here.isNotNull(), here.getField("value")).otherwise(absent if f.fallback != "()" else F.lit(None).cast("string")), fact=here)
+        absent = F.lit(None).cast("string") if f.fallback == "()" else F.lit(f.fallback if f.fallback is not None else "0")
+        number = F.when(here.isNotNull(), here.number()).otherwise(_read(absent)) if isinstance(here, _Slot) else None
+        return Value("any", F.when(here.isNotNull(), here.getField("value")).otherwise(absent), fact=here, reported=number)
 
     variables = {n: value(n, f) for n, f in assertion.variables.items()}
     return Scope(variables, fact=lambda c: F.col(c) if c in columns else first.getField(c), customs=assertion.customs or {}), first
@@ -109,7 +124,7 @@ def _judged(assertion: Assertion, columns: Sequence[str], at: Mapping[str, Colum
         return {"keep": F.lit(True), "status": F.when(skipped, "NOT_EVALUATED").when(passed, "PASS").otherwise("FAIL"), "message": F.lit(assertion.expression), **about}
     if not assertion.variables:
         raise Unsupported("a consistency assertion without variables has no fact to compare with")
-    computed, actual = compile_expression(assertion.expression, scope).number(), F.trim(first.getField("value")).try_cast(NUMBER)
+    computed, actual = compile_expression(assertion.expression, scope).number(), first.number()
     apart = F.abs(computed - actual)
     if assertion.absolute_radius is not None:
         close = apart <= F.lit(assertion.absolute_radius).cast(NUMBER)
@@ -216,10 +231,12 @@ def _bound_together(matches: DataFrame, instances: DataFrame, bindings: Sequence
         base = rows.select(*on).distinct()
     else:
         base = instances.withColumn("bind", F.explode(F.array(*map(F.lit, range(len(bindings))))))
-    for slot in range(max(map(len, bindings))):
+    slots = max(map(len, bindings))
+    for slot in range(slots):
         held = rows.where(F.col("slot") == slot).select(*(F.col(k).alias(f"_{k}") for k in on), F.lit(True).alias(f"s{slot}_there"), *(F.col(c).alias(f"s{slot}_{c}") for c in asked))
         base = base.join(held, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in on], "left").drop(*(f"_{k}" for k in on))
-    return base
+    # below the join with the assertions, so that it isn't done for each of them
+    return base.withColumns({f"s{slot}_number": _read(_Slot(slot, keys, set()).getField("value")) for slot in range(slots)}) if slots else base
 
 
 def _bound_findings_together(bound: DataFrame, rules: Sequence[tuple[int, Assertion, Mapping[str, Column]]], slots: int, keys: Sequence[str]) -> DataFrame:
@@ -276,7 +293,7 @@ def evaluate_all(facts: DataFrame, assertions: Sequence[Assertion], match_on: Se
             if assertion.kind == "existence":
                 existing.append((assertion, numbers))
                 continue
-            here = {"concept", "context_id"}
+            here = {"concept", "context_id", "value"}
             judged = _judged(assertion, keys, {n: _Slot(i, keys, here) for i, n in enumerate(assertion.variables)})
             bindings.setdefault(numbers, []).append((assertion, judged))
             asked |= here
